@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import op6_license_scan
 from .quality_rules import op3_line_crf
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_crf, op9_token_counts)}
+    return {f.__name__: f for f in (op3_line_crf, op6_license_scan, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
