@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import op6_license_scan
 from .quality_rules import op3_line_crf
+from .sharding import op5_interleaved_shards
+from .source_mixing import op4_mix_sources
 from .substring_dedup import ORACLE_SQL as OP1_SQL
 from .substring_dedup import op1_line_dedup
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_line_crf, op6_license_scan, op9_token_counts)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_dedup,
+            op3_line_crf,
+            op4_mix_sources,
+            op5_interleaved_shards,
+            op6_license_scan,
+            op9_token_counts,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
