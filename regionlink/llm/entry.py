@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op2_benchmark_leaks
 from .license_scan import op6_license_scan
 from .quality_rules import op3_line_crf
 from .sharding import op5_interleaved_shards
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_line_dedup,
+            op2_benchmark_leaks,
             op3_line_crf,
             op4_mix_sources,
             op5_interleaved_shards,
