@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .class_lm import op10_class_bigrams
 from .decontamination import op2_benchmark_leaks
 from .license_scan import op6_license_scan
 from .quality_rules import op3_line_crf
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_interleaved_shards,
             op6_license_scan,
             op9_token_counts,
+            op10_class_bigrams,
         )
     }
 

@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longer words never enter the head.
@@ -45,3 +45,35 @@ def head_words(counts: DataFrame, head: int) -> list[tuple[bytes, int]]:
     """The most frequent words, the most frequent first, ties by byte order: at most head x MAX_BYTES bytes."""
     top = counts.filter(F.octet_length("word") <= MAX_BYTES).orderBy(F.desc("n"), "word").limit(head).toArrow()
     return list(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+
+
+#: A row's own line in what is looked up. Its word starts with a line feed, so it meets no other.
+OWN, TAIL = 0, 1
+
+
+def own_word(key: bytes) -> bytes:
+    return b"\n" + key
+
+
+def joined_sums(rows: DataFrame, values: DataFrame, own: list[str], sums: dict[str, tuple[Column, str]]) -> DataFrame:
+    """One row for each row of a table, with its own columns and its sums over a word table.
+
+    rows: (kind, key, word, freq, own columns ...): a line OWN for each row, and a line TAIL for each of its words that has to
+    be looked up. values: (word, ...). sums: by name an expression over freq and the columns of values, and its type. Rows
+    of the same key are copies: each gets the sums of one.
+    """
+    found = rows.join(values, "word", "left").groupBy("key").agg(
+        *(F.max(c).alias(c) for c in own),
+        F.sum(F.when(F.col("kind") == OWN, 1).otherwise(0)).cast("int").alias("_copies"),
+        *(F.sum(F.when(F.col("kind") == TAIL, x)).alias(name) for name, (x, _) in sums.items()),
+    )
+    found = found.withColumns({name: F.coalesce(F.col(name) / F.col("_copies"), F.lit(0)).cast(kind) for name, (_, kind) in sums.items()})
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("key", *own, *sums)
+
+
+def without(table: DataFrame, words: list[bytes]) -> DataFrame:
+    """table (word, ...) less the words of the head."""
+    if not words:
+        return table
+    head = table.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    return table.join(F.broadcast(head), "word", "left_anti")
