@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .class_lm import op10_class_bigrams
 from .decontamination import op2_benchmark_leaks
+from .jaccard_join import op8_jaccard_classes
 from .license_scan import op6_license_scan
 from .quality_rules import op3_line_crf
 from .sharding import op5_interleaved_shards
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_mix_sources,
             op5_interleaved_shards,
             op6_license_scan,
+            op8_jaccard_classes,
             op9_token_counts,
             op10_class_bigrams,
         )
