@@ -6,13 +6,14 @@ whole words. Each rule names a keyword that every match contains, so that a text
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 #: A smaller priority is stronger: license texts, then notices and tags, then names, then loose mentions.
 TEXT, NOTICE, NAME, LOOSE = 1, 2, 3, 4
 CONFIDENCE = {TEXT: 0.99, NOTICE: 0.95, NAME: 0.8, LOOSE: 0.5}
 #: Every keyword contains one of these.
-STEMS = ("licen", "copyright", "spdx", "permi", "public domain", "creative commons", "cc by", "cc0", "rights reserved", "warrant", "redistribut", "gpl", "unlicen")
+STEMS = ("licen", "general public", "copyright", "spdx", "permi", "public domain", "creative commons", "cc by", "cc0", "rights reserved", "warrant", "redistribut", "gpl", "unlicen")
 
 _NOTICE = "(?:licen[sc]ed|released|distributed|published|provided|available|made available|covered|governed|redistributed|offered|shared|use is granted) (?:under|by|subject to|pursuant to|in accordance with)(?: either)?(?: the)?(?: terms(?: and conditions)? of)?(?: the)? "
 _OF = "(?: licen[sc]e)?"
@@ -172,13 +173,22 @@ class Rule:
     keyword: str
     priority: int
 
+    @property
+    def literal(self) -> str:
+        """The longest text that every match holds, as far as groups, classes and quantifiers don't hide it."""
+        bare, depth = [], 0
+        for c in re.sub(r"\\.[?*+]?|\[[^]]*\][?*+]?|.[?*]", lambda m: "\0" if m[0][0] != "(" and m[0][-2:-1] != ")" else m[0], self.pattern):
+            depth += (c == "(") - (c == ")")
+            bare.append("\0" if depth or c in "()?*+" else c)
+        return max("".join(bare).split("\0"), key=len).strip()
+
 
 def rules() -> list[Rule]:
     """All rules in their order; of equally strong rules with the same span, the first wins."""
     found = [Rule(label, pattern, keyword, TEXT) for label, pattern, keyword in TEXTS]
     for label, name, tag, keyword in LICENSES:
-        # "gpl" is in the short name only; the long one has "licen"
-        for pattern, word in ((name, keyword),) if keyword != "gpl" else ((name, "gpl"), (name, "licen")):
+        # the short name has "gpl", the long one "general public"
+        for pattern, word in ((name, keyword),) if keyword != "gpl" else ((name, "gpl"), (name, "general public")):
             found += [Rule(label, _NOTICE + pattern, word, NOTICE), Rule(label, pattern, word, NAME)]
         if tag:
             found.append(Rule(label, f"spdx license identifier {tag}", "spdx", NOTICE))

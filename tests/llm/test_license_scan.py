@@ -18,6 +18,8 @@ def brute(doc_id, text):
     places = [(i, label) for phrase, label in BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     spans = []
     for k, (label, pattern, _, priority) in enumerate(RULES):
+        if RULES[k][2] not in norm:
+            continue
         for m in pattern.finditer(norm):
             start = norm[: m.start() + 1].count(" ") - 1
             spans.append((start, -(start + len(m[1].split())), priority, k, label))
