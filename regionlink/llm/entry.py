@@ -15,6 +15,7 @@ from .sharding import op5_interleaved_shards
 from .source_mixing import op4_mix_sources
 from .substring_dedup import ORACLE_SQL as OP1_SQL
 from .substring_dedup import op1_line_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op9_token_counts
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_mix_sources,
             op5_interleaved_shards,
             op6_license_scan,
+            op7_suffix_dedup,
             op8_jaccard_classes,
             op9_token_counts,
             op10_class_bigrams,
