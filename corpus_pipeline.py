@@ -1,17 +1,78 @@
-"""Documents to training shards."""
+"""Documents to training shards: quality rules, near duplicates, benchmark leaks, source weights, shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from regionlink.llm import decontamination, jaccard_join, quality_rules, sharding, source_mixing
+from regionlink.llm.common import row_key
+from regionlink.llm.ordering import seeded_hash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose lines are content enough."""
+    model = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.keep_content(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that links join: the one with the smallest id (null last), of rows of one id the first by text.
+
+    Rows without words link with nothing and stay.
+    """
+    rows = docs.withColumn("_key", row_key(F.col("text")))
+    sizes, found = jaccard_join.linked(rows.filter("text IS NOT NULL").select(F.col("_key").alias("key"), "text"))
+    groups = sizes.filter("n > 0").join(found.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias("_key"), F.coalesce("component", "key").alias("_group"))
+    # the smallest is found by an aggregation, so a group of any size is one row for each task
+    placed = rows.join(groups, "_key", "left").withColumn("_rank", F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("_key")))
+    first = placed.filter("_group IS NOT NULL").groupBy("_group").agg(F.min("_rank").alias("_first"))
+    kept = placed.join(first, "_group", "left").filter(F.col("_first").isNull() | (F.col("_rank") == F.col("_first")))
+    # equal rows of one id are left only where a row stands several times: one of them stays
+    order = Window.partitionBy("_group", "_key").orderBy("doc_id")
+    alone = kept.filter("_group IS NULL").select(docs.columns)
+    return kept.filter("_group IS NOT NULL").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(docs.columns).unionByName(alone)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no benchmark item is found."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its words are taken, on average: taken / size is rounded up with the probability of its fraction, by the row's hash."""
+    taken = source_mixing.mix(docs)
+    keyed = docs.withColumn("_hash", seeded_hash(4, F.col("doc_id"), F.col("text")))
+    # rows of one hash have the same id and text; together they are taken as often as their mean says
+    share = taken.groupBy(F.col("hash").alias("_hash")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
+    chance = F.conv(F.substring("_hash", 20, 8), 16, 10).cast("double") / float(16**8)
+    times = F.floor(F.col("_share") + chance).cast("int")
+    return keyed.join(share, "_hash").withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shards(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing sources to target weights", source_weights),
+    ("sharding", shards),
+]
 
 #: The first stage decodes a trained model, which SQL cannot express; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents. Each one's rows are written to the shared folder and read again as the next one's."""
+    from regionlink.llm.common import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs
