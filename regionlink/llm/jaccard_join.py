@@ -14,7 +14,9 @@ that this leaves apart with one another.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ FREQUENT = 16
 CLASS = 6
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY, _TEXT = 0, 1
+#: 64-bit words of the bitmap of a set.
+_WORDS = 16
 
 
 def tokens(text: str | None, known: dict[bytes, int] | None = None) -> np.ndarray:
@@ -112,6 +116,13 @@ def signatures(h: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def bitmap(h: np.ndarray) -> list[int]:
+    """A bit for each token: what one set's bitmap has and another's lacks are tokens that the other surely lacks."""
+    bits = np.zeros(64 * _WORDS, np.uint8)
+    bits[(h >> np.uint64(7)) % np.uint64(64 * _WORDS)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def similar(a: bytes, b: bytes) -> bool:
     """Of two packed sets: shared * DEN >= union * NUM."""
     x, y = unpacked(a), unpacked(b)
@@ -120,7 +131,7 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "byte": pa.int8(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "byte": pa.int8(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
@@ -128,16 +139,18 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 _ASKED = "range int, block int, tokens binary, counts binary"
 _TOLD = "block int, range int, places binary, counts binary"
-_OUT = "kind byte, key binary, n int, shared int, typical double, signature long, tokens binary"
+_OUT = "kind byte, key binary, n int, shared int, typical double, signature long, tokens binary, bits array<long>"
 
 
-def prefixes(texts: DataFrame, block_bytes: int) -> DataFrame:
+def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> DataFrame:
     """_OUT rows of texts (key, text): a line _TEXT with the size of each set, with its tokens if it has signatures, and a line _ENTRY for each of these."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+    #: blocks of documents and ranges of tokens: cells of both hold few tokens, and blocks have a limit
+    n = max(1, -(-size // block_bytes), math.isqrt(size // cell_bytes))
+    n_ranges = -(-n // 4)
     #: tokens are about 2^x for frequencies, so that few meet by chance
     bits = np.uint64(64 - min(64, max(32, size.bit_length() + 8)))
-    part = np.uint64(-(-(1 << int(64 - bits)) // n))
+    part = np.uint64(-(-(1 << int(64 - bits)) // n_ranges))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -163,7 +176,7 @@ def prefixes(texts: DataFrame, block_bytes: int) -> DataFrame:
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         _, _, short, counts = held(table)
-        cuts = np.searchsorted(short, np.arange(n + 1, dtype=np.uint64) * part) if n > 1 else np.array([0, len(short)])
+        cuts = np.searchsorted(short, np.arange(n_ranges + 1, dtype=np.uint64) * part)
         cuts[-1] = len(short)
         block = key[0].as_py()
         rows = [(r, block, packed(short[a:b]), np.minimum(counts[a:b], 65535).astype("<u2").tobytes()) for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
@@ -185,7 +198,7 @@ def prefixes(texts: DataFrame, block_bytes: int) -> DataFrame:
     def index(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         keys, sets, short, _ = held(table)
         df = np.ones(len(short), np.int64)
-        starts = np.searchsorted(short, np.arange(n + 1, dtype=np.uint64) * part)
+        starts = np.searchsorted(short, np.arange(n_ranges, dtype=np.uint64) * part)
         for r, places, counts in zip(*(told.column(c).to_pylist() for c in ("range", "places", "counts"))):
             df[unpacked(places).astype(np.int64) + starts[r]] = np.frombuffer(counts, "<i4")
         rows: list[tuple] = []
@@ -195,8 +208,8 @@ def prefixes(texts: DataFrame, block_bytes: int) -> DataFrame:
             shared = int(np.count_nonzero(own > 1))
             if len(found):
                 typical = float(np.log2(own).mean())
-                rows += [(_ENTRY, k, len(h), shared, typical, s, None) for s in found.view(np.int64).tolist()]
-            rows.append((_TEXT, k, len(h), shared, 0.0, 0, packed(h) if len(found) else None))
+                rows += [(_ENTRY, k, len(h), shared, typical, s, None, None) for s in found.view(np.int64).tolist()]
+            rows.append((_TEXT, k, len(h), shared, 0.0, 0, *((packed(h), bitmap(h)) if len(found) else (None, None))))
         return pa.Table.from_batches([_batch(rows, _OUT)])
 
     asked = blocks.groupBy("block").applyInArrow(ask, _ASKED)
@@ -209,6 +222,12 @@ def _fits(a: Column, b: Column) -> Column:
     return (NUM + DEN) * F.least(a["shared"], b["shared"]) >= NUM * (a["n"] + b["n"])
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """Whether two sets can be similar: each lacks the tokens for whose bits the other has none."""
+    lacks = lambda p, q: reduce(Column.__add__, (F.bit_count(F.get(p["bits"], F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q["bits"], F.lit(i))))) for i in range(_WORDS)))
+    return (NUM + DEN) * F.least(a["n"] - lacks(a, b), b["n"] - lacks(b, a)) >= NUM * (a["n"] + b["n"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those (a, b) of pairs whose sets are similar."""
 
@@ -220,7 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def linked(texts: DataFrame, block_bytes: int = 16_000_000) -> tuple[DataFrame, DataFrame]:
+def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
     """(key, n): the size of each set of texts (key, text); (node, component): the components of those with links."""
     out = written(prefixes(texts, block_bytes), "op8 prefixes")
     sets = out.filter(F.col("kind") == _TEXT)
@@ -238,18 +257,20 @@ def linked(texts: DataFrame, block_bytes: int = 16_000_000) -> tuple[DataFrame,
     placed = near.select("signature", "doc", F.col("doc.key").alias("node"), F.col("centre.key").alias("c")).join(found, "node", "left")
     placed = placed.join(found.select(F.col("node").alias("c"), F.col("component").alias("main")), "c", "left")
     placed = written(placed.select("signature", "doc", F.coalesce("component", "node").alias("own"), F.coalesce("main", "c").alias("main")), "op8 apart")
-    apart = placed.filter("own <> main").select("signature", F.col("doc").alias("x"), F.col("own").alias("x_own"))
-    rest = placed.select("signature", F.col("doc").alias("y"), F.col("own").alias("y_own"))
-    x, y = F.col("x.key"), F.col("y.key")
-    more = apart.join(rest, (apart["signature"] == rest["signature"]) & (F.col("x_own") != F.col("y_own")) & _fits(F.col("x"), F.col("y")))
-    more = more.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    apart = placed.filter("own <> main").select("signature", "doc", "own")
+    rest = placed.join(apart.select("signature").distinct(), "signature", "left_semi").select("signature", "doc", "own")
+    bits = sets.filter("bits is not null").select(F.col("key").alias("node"), "bits")
+    with_bits = lambda t, name: t.withColumn("node", F.col("doc.key")).join(bits, "node").select("signature", F.struct("doc.key", "doc.n", "doc.shared", "own", "bits").alias(name))
+    x, y = F.col("x"), F.col("y")
+    more = with_bits(apart, "x").join(with_bits(rest, "y").withColumnRenamed("signature", "s"), (F.col("signature") == F.col("s")) & (x["own"] != y["own"]) & _fits(x, y) & _overlap(x, y))
+    more = more.select(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     new = written(_verified(more, having), "op8 links")
     if not new.isEmpty():
         found = components(edges.unionAll(new))
     return sets.select("key", "n").distinct(), found
 
 
-def jaccard_classes(docs: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, block_bytes: int = 64_000_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Rows with equal texts are one text. A row whose text has no words, or is null, links with nothing: its component is its
