@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, n_bytes, row_key, written
+from .common import documents, n_bytes, row_key, small_batches, written
 from .induced_sort import InducedSort
 
 GRAM = 32
 _PLACE = 24
 _M = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 #: Bytes that are looked at together; places in them fit in _PLACE bits.
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ _DONE = "key binary, n_removed long, n_spans long, kept_sha256 string"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def _batches(rows: Iterator[tuple], schema: str, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: str, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
     held: list[tuple] = []
 
@@ -153,7 +153,7 @@ def repeated_in(parts: list[tuple[bytes, bool]], length: int, memory_items: int)
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 2_000_000, memory_items: int = 20_000_000, hot: int = 4000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000, memory_items: int = 20_000_000, hot: int = 4000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     length: of the strings. shard_bytes: of fragments that are sorted together, about. memory_items: more items of a sort go
@@ -162,6 +162,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 2_000_00
     Texts found several times lose everything, repeated rows included. Null ids are kept, other columns ignored. An empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", row_key(F.col("text")))
     texts = rows.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_once, _TEXT)
@@ -198,7 +199,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 2_000_00
                     for p in parts:
                         yield p["shard"], p["hot"], p["anchor"], p["fragment"], p["many"], raw[p["start"] : p["start"] + p["windows"] + length - 1]
 
-        return _batches(rows(), _SENT, 10_000)
+        return _batches(rows(), _SENT, 5_000)
 
     bodies = written(texts.join(wanted, "key").select("text", "parts").mapInArrow(fetch, _SENT).dropDuplicates(["anchor", "fragment"]), "op7 bodies")
 
