@@ -1,0 +1 @@
+"""Reconcile messy tables with named regions, on Spark."""
