@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, written
+from .common import documents, row_key, small_batches, written
 from .lexicon import OWN, TAIL, counted, head_words, joined_sums, own_word, without
 
 #: The end of a text, and what stands before its first word. No word holds a line feed.
@@ -179,6 +179,7 @@ def score(docs: DataFrame, head: int = 200_000, **options) -> DataFrame:
     score the model's. A null or empty text is its end alone. Repeated rows each count in training and give their rows.
     With nothing to train on, all words are unknown. Other columns are ignored. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = docs.filter(~held_out(F.col("doc_id")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 SHINGLE, BLOCKS, BITS = 5, 8, 64
 #: Characters of items that are searched for at once.
@@ -168,6 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: in
     tables give no rows.
     """
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, first_word long, similarity double, distance int"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, found = docs.sparkSession, []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, written
+from .common import documents, row_key, small_batches, written
 from .graph import components
 
 SHINGLE = 5
@@ -241,6 +241,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
     """(key, n): the size of each set of texts (key, text); (node, component): the components of those with links."""
+    small_batches(texts.sparkSession)
     out = written(prefixes(texts, block_bytes), "op8 prefixes")
     sets = out.filter(F.col("kind") == _TEXT)
     entries = out.filter(F.col("kind") == _ENTRY).select("signature", F.struct("typical", "key", "n", "shared").alias("doc"))

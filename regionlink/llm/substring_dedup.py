@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_key
+from .common import documents, row_key, small_batches
 
 _UNITS = "digest binary, none int, doc_id long, key binary, unit int, start int, length int"
 
@@ -64,6 +64,7 @@ def line_dedup(docs: DataFrame, separator: str = "\n", min_words: int = 4) -> Da
     same id and text are one document, and each such row gets its result. Other columns are ignored. An empty table gives
     no rows.
     """
+    small_batches(docs.sparkSession)
     rows = _rows(docs)
     spans = repeated_units(docs, separator, min_words).groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
