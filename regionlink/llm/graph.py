@@ -26,3 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         left = left.join(of("a"), "a").join(of("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a <> b").distinct()
         left = written(left, "edges")
     return labels
+
+
+def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after further edges (a, b), found among the components that these touch."""
+    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    merged = components(between)
+    every = found.unionByName(merged.select("node", F.col("node").alias("component")).join(found, "node", "left_anti"))
+    return every.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left").select("node", F.coalesce("into", "component").alias("component"))

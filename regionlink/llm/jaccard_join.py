@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, row_key, small_batches, written
-from .graph import components
+from .graph import components, joined
 
 SHINGLE = 5
 #: A pair links when NUM * union <= DEN * shared (similarity 3/4).
@@ -267,7 +267,7 @@ def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame,
     more = more.select(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     new = written(_verified(more, having), "op8 links")
     if not new.isEmpty():
-        found = components(edges.unionAll(new))
+        found = joined(found, new)
     return sets.select("key", "n").distinct(), found
 
 
