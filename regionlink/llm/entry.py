@@ -13,7 +13,7 @@ from .license_scan import op6_license_scan
 from .quality_rules import op3_line_crf
 from .sharding import op5_interleaved_shards
 from .source_mixing import op4_mix_sources
-from .sql import mixing_sql, sharding_sql
+from .sql import JACCARD_SQL, mixing_sql, sharding_sql
 from .substring_dedup import ORACLE_SQL as OP1_SQL
 from .substring_dedup import op1_line_dedup
 from .suffix_dedup import op7_suffix_dedup
@@ -39,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_mix_sources": mixing_sql(), "op5_interleaved_shards": sharding_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op4_mix_sources": mixing_sql(), "op5_interleaved_shards": sharding_sql(), "op8_jaccard_classes": JACCARD_SQL}

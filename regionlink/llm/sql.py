@@ -55,3 +55,15 @@ p AS (SELECT *, row_number() OVER (ORDER BY fraction, source, h, doc_id) - 1 AS
 SELECT doc_id, size, text_crc32, 'rows' AS law, (position * {n_shards} // n)::INTEGER AS shard,
        (position - ((position * {n_shards} // n) * n + {n_shards - 1}) // {n_shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
 """
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+d AS (SELECT doc_id, CASE WHEN coalesce(len(words), 0) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(len(words) - 4, 1)), lambda i: array_to_string(words[i + 1:i + 5], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n + b.n) AS n FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * (n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM d JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""
