@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edges that one task handles with ease.
+SMALL = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the component's smallest node.
@@ -16,7 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     labels = written(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node")), "labels")
-    while not left.isEmpty():
+    n = left.count()
+    small = n <= SMALL  # so are the labels, then; in one partition, tables this small need no exchange
+    while n:
+        if small:
+            left, labels = left.coalesce(1), labels.coalesce(1)
         lower = left.unionAll(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("from"), F.least("a", "b").alias("to"))
         lower = written(lower, "steps")
         again = lower.select(F.col("from").alias("to"), F.col("to").alias("then"))
@@ -25,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = written(labels.join(of("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component")), "labels")
         left = left.join(of("a"), "a").join(of("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a <> b").distinct()
         left = written(left, "edges")
+        n = left.count()
     return labels
 
 

@@ -36,8 +36,8 @@ FREQUENT = 16
 CLASS = 6
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY, _TEXT = 0, 1
-#: 64-bit words of the bitmap of a set.
-_WORDS = 16
+#: 64-bit words of the bitmap of a set, and how many of its smallest signatures travel with it.
+_WORDS, _LOW = 4, 8
 
 
 def tokens(text: str | None, known: dict[bytes, int] | None = None) -> np.ndarray:
@@ -139,7 +139,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 _ASKED = "range int, block int, tokens binary, counts binary"
 _TOLD = "block int, range int, places binary, counts binary"
-_OUT = "kind byte, key binary, n int, shared int, typical double, signature long, tokens binary, bits array<long>"
+_OUT = "kind byte, key binary, n int, shared int, typical double, signature long, tokens binary, bits array<long>, low array<long>"
 
 
 def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> DataFrame:
@@ -208,8 +208,8 @@ def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> Da
             shared = int(np.count_nonzero(own > 1))
             if len(found):
                 typical = float(np.log2(own).mean())
-                rows += [(_ENTRY, k, len(h), shared, typical, s, None, None) for s in found.view(np.int64).tolist()]
-            rows.append((_TEXT, k, len(h), shared, 0.0, 0, *((packed(h), bitmap(h)) if len(found) else (None, None))))
+                rows += [(_ENTRY, k, len(h), shared, typical, s, None, None, None) for s in found.view(np.int64).tolist()]
+            rows.append((_TEXT, k, len(h), shared, 0.0, 0, *((packed(h), bitmap(h), np.unique(found.view(np.int64))[:_LOW].tolist()) if len(found) else (None, None, None))))
         return pa.Table.from_batches([_batch(rows, _OUT)])
 
     asked = blocks.groupBy("block").applyInArrow(ask, _ASKED)
@@ -248,22 +248,25 @@ def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame,
     having = sets.filter("tokens is not null").select("key", "tokens")
 
     typical = entries.groupBy("signature").agg(F.max("doc").alias("centre"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
-    near = entries.join(typical, "signature")
-    a, b = F.col("centre.key"), F.col("doc.key")
-    pairs = near.filter((a != b) & _fits(F.col("centre"), F.col("doc"))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    # one row for each document and most typical one of its signatures, with these
+    near = entries.join(typical, "signature").groupBy(F.col("centre.key").alias("c"), F.col("doc.key").alias("node")).agg(F.max("centre").alias("centre"), F.max("doc").alias("doc"), F.collect_list("signature").alias("signatures"))
+    near = written(near, "op8 near")
+    pairs = near.filter((F.col("c") != F.col("node")) & _fits(F.col("centre"), F.col("doc"))).select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
     edges = written(_verified(pairs, having), "op8 links")
     found = components(edges)
 
     # documents that a signature's most typical one didn't link, with all others of the signature that are elsewhere
-    placed = near.select("signature", "doc", F.col("doc.key").alias("node"), F.col("centre.key").alias("c")).join(found, "node", "left")
-    placed = placed.join(found.select(F.col("node").alias("c"), F.col("component").alias("main")), "c", "left")
-    placed = written(placed.select("signature", "doc", F.coalesce("component", "node").alias("own"), F.coalesce("main", "c").alias("main")), "op8 apart")
-    apart = placed.filter("own <> main").select("signature", "doc", "own")
-    rest = placed.join(apart.select("signature").distinct(), "signature", "left_semi").select("signature", "doc", "own")
-    bits = sets.filter("bits is not null").select(F.col("key").alias("node"), "bits")
-    with_bits = lambda t, name: t.withColumn("node", F.col("doc.key")).join(bits, "node").select("signature", F.struct("doc.key", "doc.n", "doc.shared", "own", "bits").alias(name))
+    placed = near.select("c", "node", "signatures", "doc.n", "doc.shared").join(found, "node", "left")
+    placed = placed.join(found.select(F.col("node").alias("c"), F.col("component").alias("main")), "c", "left").select("c", "node", "signatures", "n", "shared", F.coalesce("component", "node").alias("own"), F.coalesce("main", "c").alias("main"))
+    placed = written(placed, "op8 apart")
+    open_centres = placed.filter("own <> main").select("c").distinct()
+    extras = sets.filter("bits is not null").select(F.col("key").alias("node"), "bits", "low")
+    wide = placed.join(open_centres, "c", "left_semi").join(extras, "node").select(F.explode("signatures").alias("signature"), F.struct(F.col("node").alias("key"), "n", "shared", "own", "bits", "low").alias("doc"), (F.col("own") != F.col("main")).alias("apart"))
     x, y = F.col("x"), F.col("y")
-    more = with_bits(apart, "x").join(with_bits(rest, "y").withColumnRenamed("signature", "s"), (F.col("signature") == F.col("s")) & (x["own"] != y["own"]) & _fits(x, y) & _overlap(x, y))
+    first = F.array_min(F.array_intersect(x["low"], y["low"]))
+    # a pair with a signature in common among the smallest of both meets there only; both lists have it
+    here = first.isNull() | (first == F.col("signature"))
+    more = wide.filter("apart").select("signature", F.col("doc").alias("x")).join(wide.select(F.col("signature").alias("s"), F.col("doc").alias("y")), (F.col("signature") == F.col("s")) & (x["own"] != y["own"]) & _fits(x, y) & _overlap(x, y) & here)
     more = more.select(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     new = written(_verified(more, having), "op8 links")
     if not new.isEmpty():
