@@ -59,6 +59,11 @@ class BucketQueue:
         return char in self.memory or char in self.files
 
 
+def _stable(keys: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of keys below n; of 16 bits, they are sorted by their digits."""
+    return np.argsort(keys.astype(np.uint16) if n <= 1 << 16 else keys, kind="stable")
+
+
 def _range_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Least of values[start..end], both included."""
     out = np.empty(len(start), values.dtype)
@@ -114,7 +119,7 @@ class InducedSort:
         if len(lms) < 2:
             return lms
         # one round of induction from the right first characters sorts the substrings from one to the next such place
-        first = lms[np.argsort(text[lms], kind="stable")]
+        first = lms[_stable(text[lms], int(text.max()) + 1)]
         rough, _ = self._induce(text, small, first, None)
         is_lms = np.zeros(len(text), bool)
         is_lms[lms] = True
@@ -160,7 +165,7 @@ class InducedSort:
             second = np.zeros(n, np.int64)
             second[: n - width if width < n else 0] = rank[width:] + 1
             both = rank * (n + 1) + second
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             new = np.zeros(n, np.int64)
             new[order[1:]] = np.cumsum(both[order[1:]] != both[order[:-1]])
             rank, width = new, 2 * width
@@ -189,7 +194,7 @@ class InducedSort:
         run = np.zeros(0)
         if with_lcp:
             change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-            run = np.minimum(change[np.searchsorted(change, np.arange(n))] - np.arange(n) + 1, self.cap)
+            run = np.minimum(np.repeat(change, np.diff(change, prepend=-1)) - np.arange(n) + 1, self.cap)
         sa, lcp = self._array(n, np.int64), self._array(n if with_lcp else 0, np.int64)
         n_large = np.zeros(len(chars), np.int64)
         slot = np.searchsorted(chars, text[seeds])
@@ -205,7 +210,7 @@ class InducedSort:
             at = np.flatnonzero(ok)
             if len(at):
                 target = index[text[before[at]]]
-                by = np.argsort(target, kind="stable")
+                by = _stable(target, len(chars))
                 target, at_by = target[by], at[by]
                 cuts = np.flatnonzero(np.diff(target, prepend=-1))
                 value = np.zeros(len(at_by), np.int64)

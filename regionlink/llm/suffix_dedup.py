@@ -1,6 +1,6 @@
 """Suffix-array dedup (7): every byte covered by a string of 200 bytes that starts elsewhere too is removed.
 
-Windows that can be equal are brought together first. The least hashed 32-gram of a window is its anchor, equal windows have
+Windows that can be equal are brought together first. The least hashed 64-gram of a window is its anchor, equal windows have
 equal anchors, and consecutive windows with the same anchor form a fragment. Anchors found once in the corpus cannot repeat
 and go no further. Of the others, fragments that are equal are one; an anchor with a single fragment needs no comparison.
 All distinct fragments of the rest are dealt to shards by anchor, and each shard is sorted by external induction: suffixes
@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from .common import documents, n_bytes, row_key, small_batches, written
 from .induced_sort import InducedSort
 
-GRAM = 32
+GRAM = 64
 _PLACE = 24
-_M = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
+_M = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 #: Bytes that are looked at together; places in them fit in _PLACE bits.
 _CHUNK = 500_000
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place."""
+    """A 64-bit hash of the GRAM bytes from each place; a multiplier for each doubling."""
     h, width = raw.astype(np.uint64) + np.uint64(1), 1
     for m in _M:
         h = (h[:-width] * m) + h[width:]
