@@ -177,7 +177,7 @@ class Rule:
     def literal(self) -> str:
         """The longest text that every match holds, as far as groups, classes and quantifiers don't hide it."""
         bare, depth = [], 0
-        for c in re.sub(r"\\.[?*+]?|\[[^]]*\][?*+]?|.[?*]", lambda m: "\0" if m[0][0] != "(" and m[0][-2:-1] != ")" else m[0], self.pattern):
+        for c in re.sub(r"(?:\\.|\[[^]]*\])(?:[?*+]|\{[^}]*\})?|[^()](?:[?*]|\{[^}]*\})|\{[^}]*\}", "\0", self.pattern):
             depth += (c == "(") - (c == ")")
             bare.append("\0" if depth or c in "()?*+" else c)
         return max("".join(bare).split("\0"), key=len).strip()
