@@ -1,7 +1,8 @@
 """The ordered signature rules of the license scan.
 
 Patterns run over normalised text: words of letters and digits in lower case, one blank between two words. A pattern matches
-whole words. Each rule names a keyword that every match contains, so that a text without it never meets the pattern.
+whole words. Each rule names a keyword, so that a text without it never meets the pattern. Every match of a pattern contains
+the keyword of its rule; where one word can't do that, the pattern stands in one rule for each of several.
 """
 
 from __future__ import annotations
@@ -13,62 +14,69 @@ from dataclasses import dataclass
 TEXT, NOTICE, NAME, LOOSE = 1, 2, 3, 4
 CONFIDENCE = {TEXT: 0.99, NOTICE: 0.95, NAME: 0.8, LOOSE: 0.5}
 #: Every keyword contains one of these.
-STEMS = ("licen", "general public", "copyright", "spdx", "permi", "public domain", "creative commons", "cc by", "cc0", "rights reserved", "warrant", "redistribut", "gpl", "unlicen")
+STEMS = (
+    "licen", "general public", "copyright", "spdx", "permi", "public domain", "creative commons", "cc by", "cc0", "cc zero",
+    "rights reserved", "warrant", "redistribut", "gpl", "unlicen", "mit no attribution", "apache", "bsd", "free public",
+    "mozilla public", "eclipse public", "eclipse distribution", "cddl", "common development", "common public", "ibm public",
+    "european union public", "artistic", "same terms as perl", "python", "psf", "php", "zope public", "open software",
+    "academic free", "business source", "server side public", "elastic", "polyform", "open font", "open data", "cecill",
+    "mulan", "openldap public", "nasa open source", "contributors may be used", "advertising materials", "plainly marked",
+)
 
 _NOTICE = "(?:licen[sc]ed|released|distributed|published|provided|available|made available|covered|governed|redistributed|offered|shared|use is granted) (?:under|by|subject to|pursuant to|in accordance with)(?: either)?(?: the)?(?: terms(?: and conditions)? of)?(?: the)? "
 _OF = "(?: licen[sc]e)?"
 _V = "(?: licen[sc]e)?(?: version| ver| v)?(?: v| )"
 
-#: label, name pattern, words of the SPDX tag (none: the license has no tag), keyword of name and notice.
+#: label, name pattern, words of the SPDX tag (none: the license has no tag), keywords of name and notice: every match has one of them.
 LICENSES = (
     ("mit", "(?:mit|expat) licen[sc]e", "mit", "licen"),
-    ("mit-0", "mit no attribution(?: licen[sc]e)?", "mit 0", "licen"),
+    ("mit-0", "mit no attribution(?: licen[sc]e)?", "mit 0", "mit no attribution"),
     ("x11", "(?:x11|mit x11) licen[sc]e", "x11", "licen"),
-    ("apache-2", "apache(?: software)?" + _V + "2(?: 0)?", "apache 2 0", "licen"),
-    ("apache-1.1", "apache(?: software)?" + _V + "1 1", "apache 1 1", "licen"),
-    ("apache-1", "apache(?: software)?" + _V + "1 0", "apache 1 0", "licen"),
-    ("bsd-0", "(?:0 clause bsd|bsd 0 clause|zero clause bsd|free public licen[sc]e 1 0 0)" + _OF, "0bsd", "licen"),
-    ("bsd-1", "(?:1 clause bsd|bsd 1 clause)" + _OF, "bsd 1 clause", "licen"),
-    ("bsd-2", "(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)" + _OF, "bsd 2 clause", "licen"),
-    ("bsd-2-patent", "(?:2 clause bsd|bsd 2 clause|bsd)(?: plus|\\+)? patent(?: licen[sc]e)?", "bsd 2 clause patent", "licen"),
-    ("bsd-3", "(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd)" + _OF, "bsd 3 clause", "licen"),
-    ("bsd-3-clear", "(?:3 clause clear bsd|clear bsd|bsd 3 clause clear)" + _OF, "bsd 3 clause clear", "licen"),
-    ("bsd-4", "(?:4 clause bsd|bsd 4 clause|original bsd|old bsd)" + _OF, "bsd 4 clause", "licen"),
+    ("apache-2", "apache(?: software)?" + _V + "2(?: 0)?", "apache 2 0", "apache"),
+    ("apache-1.1", "apache(?: software)?" + _V + "1 1", "apache 1 1", "apache"),
+    ("apache-1", "apache(?: software)?" + _V + "1 0", "apache 1 0", "apache"),
+    ("bsd-0", "(?:0 clause bsd|bsd 0 clause|zero clause bsd|free public licen[sc]e 1 0 0)" + _OF, "0bsd", "bsd|free public"),
+    ("bsd-1", "(?:1 clause bsd|bsd 1 clause)" + _OF, "bsd 1 clause", "bsd"),
+    ("bsd-2", "(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)" + _OF, "bsd 2 clause", "bsd"),
+    ("bsd-2-patent", "(?:2 clause bsd|bsd 2 clause|bsd)(?: plus|\\+)? patent(?: licen[sc]e)?", "bsd 2 clause patent", "bsd"),
+    ("bsd-3", "(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd)" + _OF, "bsd 3 clause", "bsd"),
+    ("bsd-3-clear", "(?:3 clause clear bsd|clear bsd|bsd 3 clause clear)" + _OF, "bsd 3 clause clear", "bsd"),
+    ("bsd-4", "(?:4 clause bsd|bsd 4 clause|original bsd|old bsd)" + _OF, "bsd 4 clause", "bsd"),
     ("isc", "isc(?: software)? licen[sc]e", "isc", "licen"),
     ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", "licen"),
     ("libpng", "(?:libpng|png reference library) licen[sc]e", "libpng", "licen"),
     ("boost-1", "boost(?: software)? licen[sc]e(?: version)?(?: 1 0)?", "bsl 1 0", "licen"),
-    ("gpl-1", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 1(?: 0)?(?: only)?", "gpl 1 0(?: only)?", "gpl"),
-    ("gpl-2", "(?:gnu )?(?:general public licen[sc]e|gpl|gplv2)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?(?: only)?", "gpl 2 0(?: only)?", "gpl"),
-    ("gpl-2-or-later", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?(?:later|newer)", "gpl 2 0 or later", "gpl"),
-    ("gpl-3", "(?:gnu )?(?:general public licen[sc]e|gpl|gplv3)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: only)?", "gpl 3 0(?: only)?", "gpl"),
-    ("gpl-3-or-later", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?(?:later|newer)", "gpl 3 0 or later", "gpl"),
-    ("lgpl-2", "(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version| v)? 2(?: 0)?(?: only)?", "lgpl 2 0(?: only| or later)?", "gpl"),
-    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2 1(?: only)?", "lgpl 2 1(?: only| or later)?", "gpl"),
-    ("lgpl-3", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: only)?", "lgpl 3 0(?: only| or later)?", "gpl"),
-    ("agpl-3", "(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: only)?", "agpl 3 0(?: only| or later)?", "gpl"),
+    ("gpl-1", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 1(?: 0)?(?: only)?", "gpl 1 0(?: only)?", "gpl|general public"),
+    ("gpl-2", "(?:gnu )?(?:general public licen[sc]e|gpl|gplv2)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?(?: only)?", "gpl 2 0(?: only)?", "gpl|general public"),
+    ("gpl-2-or-later", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?(?:later|newer)", "gpl 2 0 or later", "gpl|general public"),
+    ("gpl-3", "(?:gnu )?(?:general public licen[sc]e|gpl|gplv3)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: only)?", "gpl 3 0(?: only)?", "gpl|general public"),
+    ("gpl-3-or-later", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?(?:later|newer)", "gpl 3 0 or later", "gpl|general public"),
+    ("lgpl-2", "(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version| v)? 2(?: 0)?(?: only)?", "lgpl 2 0(?: only| or later)?", "gpl|general public"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2 1(?: only)?", "lgpl 2 1(?: only| or later)?", "gpl|general public"),
+    ("lgpl-3", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: only)?", "lgpl 3 0(?: only| or later)?", "gpl|general public"),
+    ("agpl-3", "(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?(?: only)?", "agpl 3 0(?: only| or later)?", "gpl|general public"),
     ("gfdl-1.1", "(?:gnu )?free documentation licen[sc]e(?: version)? 1 1", "gfdl 1 1", "licen"),
     ("gfdl-1.2", "(?:gnu )?free documentation licen[sc]e(?: version)? 1 2", "gfdl 1 2", "licen"),
     ("gfdl-1.3", "(?:gnu )?free documentation licen[sc]e(?: version)? 1 3", "gfdl 1 3", "licen"),
-    ("mpl-1", "mozilla public" + _V + "1(?: 0)?", "mpl 1 0", "licen"),
-    ("mpl-1.1", "mozilla public" + _V + "1 1", "mpl 1 1", "licen"),
-    ("mpl-2", "mozilla public" + _V + "2(?: 0)?", "mpl 2 0", "licen"),
-    ("epl-1", "eclipse public" + _V + "1(?: 0)?", "epl 1 0", "licen"),
-    ("epl-2", "eclipse public" + _V + "2(?: 0)?", "epl 2 0", "licen"),
-    ("edl-1", "eclipse distribution" + _V + "1(?: 0)?", "edl 1 0", "licen"),
-    ("cddl-1", "(?:common development and distribution|cddl)" + _V + "1(?: 0)?", "cddl 1 0", "licen"),
-    ("cddl-1.1", "(?:common development and distribution|cddl)" + _V + "1 1", "cddl 1 1", "licen"),
-    ("cpl-1", "common public" + _V + "1(?: 0)?", "cpl 1 0", "licen"),
-    ("ipl-1", "ibm public" + _V + "1(?: 0)?", "ipl 1 0", "licen"),
-    ("eupl-1.1", "european union public" + _V + "1 1", "eupl 1 1", "licen"),
-    ("eupl-1.2", "european union public" + _V + "1 2", "eupl 1 2", "licen"),
-    ("artistic-1", "artistic" + _V + "1(?: 0)?", "artistic 1 0", "licen"),
-    ("artistic-2", "artistic" + _V + "2(?: 0)?", "artistic 2 0", "licen"),
-    ("perl", "same terms as perl(?: 5)?(?: itself)?(?: licen[sc]e)?", "", "licen"),
-    ("python-2", "(?:python software foundation|psf|python)" + _V + "2(?: 0)?", "python 2 0", "licen"),
+    ("mpl-1", "mozilla public" + _V + "1(?: 0)?", "mpl 1 0", "mozilla public"),
+    ("mpl-1.1", "mozilla public" + _V + "1 1", "mpl 1 1", "mozilla public"),
+    ("mpl-2", "mozilla public" + _V + "2(?: 0)?", "mpl 2 0", "mozilla public"),
+    ("epl-1", "eclipse public" + _V + "1(?: 0)?", "epl 1 0", "eclipse public"),
+    ("epl-2", "eclipse public" + _V + "2(?: 0)?", "epl 2 0", "eclipse public"),
+    ("edl-1", "eclipse distribution" + _V + "1(?: 0)?", "edl 1 0", "eclipse distribution"),
+    ("cddl-1", "(?:common development and distribution|cddl)" + _V + "1(?: 0)?", "cddl 1 0", "cddl|common development"),
+    ("cddl-1.1", "(?:common development and distribution|cddl)" + _V + "1 1", "cddl 1 1", "cddl|common development"),
+    ("cpl-1", "common public" + _V + "1(?: 0)?", "cpl 1 0", "common public"),
+    ("ipl-1", "ibm public" + _V + "1(?: 0)?", "ipl 1 0", "ibm public"),
+    ("eupl-1.1", "european union public" + _V + "1 1", "eupl 1 1", "european union public"),
+    ("eupl-1.2", "european union public" + _V + "1 2", "eupl 1 2", "european union public"),
+    ("artistic-1", "artistic" + _V + "1(?: 0)?", "artistic 1 0", "artistic"),
+    ("artistic-2", "artistic" + _V + "2(?: 0)?", "artistic 2 0", "artistic"),
+    ("perl", "same terms as perl(?: 5)?(?: itself)?(?: licen[sc]e)?", "", "same terms as perl"),
+    ("python-2", "(?:python software foundation|psf|python)" + _V + "2(?: 0)?", "python 2 0", "python|psf"),
     ("ruby", "ruby(?: s)? licen[sc]e", "ruby", "licen"),
-    ("php-3.01", "php" + _V + "3 01", "php 3 01", "licen"),
-    ("php-3", "php" + _V + "3(?: 0)?", "php 3 0", "licen"),
+    ("php-3.01", "php" + _V + "3 01", "php 3 01", "php"),
+    ("php-3", "php" + _V + "3(?: 0)?", "php 3 0", "php"),
     ("openssl", "openssl licen[sc]e", "openssl", "licen"),
     ("ssleay", "ssleay licen[sc]e", "ssleay standalone", "licen"),
     ("curl", "curl licen[sc]e", "curl", "licen"),
@@ -82,28 +90,28 @@ LICENSES = (
     ("upl-1", "universal permissive" + _V + "1(?: 0)?", "upl 1 0", "permi"),
     ("vim", "vim licen[sc]e", "vim", "licen"),
     ("w3c", "w3c(?: software)?(?: notice and)? licen[sc]e", "w3c", "licen"),
-    ("zpl-2.1", "zope public" + _V + "2 1", "zpl 2 1", "licen"),
-    ("zpl-2", "zope public" + _V + "2(?: 0)?", "zpl 2 0", "licen"),
-    ("osl-3", "open software" + _V + "3(?: 0)?", "osl 3 0", "licen"),
-    ("afl-3", "academic free" + _V + "3(?: 0)?", "afl 3 0", "licen"),
-    ("bsl-1.1", "business source" + _V + "1 1", "busl 1 1", "licen"),
-    ("sspl-1", "server side public" + _V + "1(?: 0)?", "sspl 1 0", "licen"),
-    ("elastic-2", "elastic" + _V + "2(?: 0)?", "elastic 2 0", "licen"),
-    ("polyform-nc", "polyform noncommercial" + _V + "1 0 0", "polyform noncommercial 1 0 0", "licen"),
-    ("ofl-1.1", "(?:sil )?open font" + _V + "1 1", "ofl 1 1", "licen"),
-    ("odbl-1", "open (?:data commons open )?database" + _V + "1(?: 0)?", "odbl 1 0", "licen"),
-    ("odc-by-1", "open data commons attribution" + _V + "1(?: 0)?", "odc by 1 0", "licen"),
+    ("zpl-2.1", "zope public" + _V + "2 1", "zpl 2 1", "zope public"),
+    ("zpl-2", "zope public" + _V + "2(?: 0)?", "zpl 2 0", "zope public"),
+    ("osl-3", "open software" + _V + "3(?: 0)?", "osl 3 0", "open software"),
+    ("afl-3", "academic free" + _V + "3(?: 0)?", "afl 3 0", "academic free"),
+    ("bsl-1.1", "business source" + _V + "1 1", "busl 1 1", "business source"),
+    ("sspl-1", "server side public" + _V + "1(?: 0)?", "sspl 1 0", "server side public"),
+    ("elastic-2", "elastic" + _V + "2(?: 0)?", "elastic 2 0", "elastic"),
+    ("polyform-nc", "polyform noncommercial" + _V + "1 0 0", "polyform noncommercial 1 0 0", "polyform"),
+    ("ofl-1.1", "(?:sil )?open font" + _V + "1 1", "ofl 1 1", "open font"),
+    ("odbl-1", "open (?:data commons open )?database" + _V + "1(?: 0)?", "odbl 1 0", "open data"),
+    ("odc-by-1", "open data commons attribution" + _V + "1(?: 0)?", "odc by 1 0", "open data"),
     ("pddl-1", "(?:open data commons )?public domain dedication and" + _V + "1(?: 0)?", "pddl 1 0", "public domain"),
     ("cdla-permissive", "community data licen[sc]e agreement permissive", "cdla permissive [12] 0", "licen"),
     ("cdla-sharing", "community data licen[sc]e agreement sharing", "cdla sharing 1 0", "licen"),
     ("openrail", "(?:creativeml |bigscience |big code )?open ?rail m?(?: licen[sc]e)", "openrail", "licen"),
     ("hippocratic", "hippocratic licen[sc]e", "hippocratic 2 1", "licen"),
-    ("cecill-2.1", "cecill" + _V + "2 1", "cecill 2 1", "licen"),
-    ("cecill-b", "cecill b" + _OF, "cecill b", "licen"),
-    ("mulan-2", "mulan(?: permissive software| psl)" + _V + "2", "mulanpsl 2 0", "licen"),
-    ("oldap-2.8", "openldap public" + _V + "2 8", "oldap 2 8", "licen"),
+    ("cecill-2.1", "cecill" + _V + "2 1", "cecill 2 1", "cecill"),
+    ("cecill-b", "cecill b" + _OF, "cecill b", "cecill"),
+    ("mulan-2", "mulan(?: permissive software| psl)" + _V + "2", "mulanpsl 2 0", "mulan"),
+    ("oldap-2.8", "openldap public" + _V + "2 8", "oldap 2 8", "openldap public"),
     ("intel", "intel open source licen[sc]e", "intel", "licen"),
-    ("nasa-1.3", "nasa open source agreement(?: version)? 1 3", "nasa 1 3", "licen"),
+    ("nasa-1.3", "nasa open source agreement(?: version)? 1 3", "nasa 1 3", "nasa open source"),
 )
 
 #: Creative Commons by the words of their short and long names.
@@ -122,9 +130,9 @@ TEXTS = (
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use"),
     ("bsd-2", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistribut"),
-    ("bsd-3", "neither the name of (?:the )?(?:\\S+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software", "permi"),
-    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "copyright"),
-    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "permi"),
+    ("bsd-3", "neither the name of (?:the )?(?:\\S+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software", "contributors may be used"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising materials"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "plainly marked"),
     ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "permission is hereby"),
     ("apache-2", "you may not use this file except in compliance with the licen[sc]e", "licen"),
     ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", "licen"),
@@ -187,9 +195,9 @@ def rules() -> list[Rule]:
     """All rules in their order; of equally strong rules with the same span, the first wins."""
     found = [Rule(label, pattern, keyword, TEXT) for label, pattern, keyword in TEXTS]
     for label, name, tag, keyword in LICENSES:
-        # the short name has "gpl", the long one "general public"
-        for pattern, word in ((name, keyword),) if keyword != "gpl" else ((name, "gpl"), (name, "general public")):
-            found += [Rule(label, _NOTICE + pattern, word, NOTICE), Rule(label, pattern, word, NAME)]
+        # no word may stand in all forms of a name: "gpl" in the short one, "general public" in the long one
+        for word in keyword.split("|"):
+            found += [Rule(label, _NOTICE + name, word, NOTICE), Rule(label, name, word, NAME)]
         if tag:
             found.append(Rule(label, f"spdx license identifier {tag}", "spdx", NOTICE))
     for label, short, long in _CC:
@@ -200,5 +208,5 @@ def rules() -> list[Rule]:
                 Rule(label + version, f"creative commons {long}(?: licen[sc]e)?(?: version)?(?: international| unported| generic)?{suffix}", "creative commons", NAME),
             ]
         found.append(Rule(label, f"spdx license identifier cc {short} [1234] \\d", "spdx", NOTICE))
-    found += [Rule("cc0-1", f"{notice}(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", word, level) for word in ("cc0", "creative commons") for notice, level in ((_NOTICE, NOTICE), ("", NAME))]
+    found += [Rule("cc0-1", f"{notice}(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", word, level) for word in ("cc0", "cc zero", "creative commons") for notice, level in ((_NOTICE, NOTICE), ("", NAME))]
     return found + [Rule(label, pattern, keyword, LOOSE) for label, pattern, keyword in LOOSES]
