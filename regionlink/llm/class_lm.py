@@ -1,18 +1,21 @@
 """LM scoring (10): Brown class-based bigrams.
 
 P(w | v) = P(class of w | class of v) x P(w | class of w). Classes come from exchange clustering: units move one by one to
-the class that raises the likelihood of the corpus' class bigrams most, until none moves or the sweeps are over. A unit is
-a frequent word, or a group of all other words with alike endings, so every word has a class, and the bigram counts of
-units, which cover all training texts, stay small enough for one machine at any corpus size. Word counts have no such
-bound: frequent ones are looked up where a text is read, all others through a join (see lexicon).
+the class that raises the likelihood of the corpus' class bigrams most, until none moves or the sweeps are over. That begins
+with few units, on one machine: the most frequent words, and groups of all others with alike endings. From the classes found,
+every other word seen often enough is then placed by itself, from the classes of its own neighbours: texts are written as
+numbers of words once, contexts are dealt by word, and each task exchanges the words it got. Only words too rare to place
+stay with their group. What is gathered for words grows with the vocabulary; each placed word takes 11 bytes where texts are
+read. Word counts are looked up there for frequent words, and through a join for all others (see lexicon).
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from .lexicon import OWN, TAIL, counted, head_words, joined_sums, own_word, with
 #: The end of a text, and what stands before its first word. No word holds a line feed.
 END = b"\n"
 FLOOR = 0.1
+#: Tokens that a task holds before it adds them up.
+CHUNK = 500_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -32,29 +37,81 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<i8")
+
+
 @dataclass(frozen=True)
 class Units:
-    """frequent: number of each frequent word. All others fall in groups by a hash of their endings."""
+    """Numbers of words. frequent: of each frequent word; then come the groups, into which a hash of the endings puts all others.
+
+    placed: sorted hashes of the words that leave their groups; their numbers come last. seeds: the group of each of them.
+    """
 
     frequent: dict[bytes, int]
     groups: int
+    placed: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    seeds: np.ndarray = field(default_factory=lambda: np.empty(0, np.int16))
 
-    def __len__(self) -> int:
+    @property
+    def n_seeds(self) -> int:
         return len(self.frequent) + self.groups
 
-    def of(self, word: bytes) -> int:
-        unit = self.frequent.get(word)
-        return len(self.frequent) + zlib.crc32(word[-3:]) % self.groups if unit is None else unit
+    def group(self, word: bytes) -> int:
+        return len(self.frequent) + zlib.crc32(word[-3:]) % self.groups
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter((self.frequent.get(w, -1) for w in words), np.int32, len(words))
+        left = np.flatnonzero(found < 0)
+        others = [words[i] for i in left]
+        if not others:
+            return found
+        found[left] = [self.group(w) for w in others]
+        if len(self.placed):
+            keys = hashed(others)
+            at = np.minimum(np.searchsorted(self.placed, keys), len(self.placed) - 1)
+            own = self.placed[at] == keys
+            found[left[own]] = self.n_seeds + at[own]
+        return found
 
     def sequence(self, tokens: list[bytes]) -> np.ndarray:
-        known = {w: self.of(w) for w in set(tokens)}
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        distinct = list(set(tokens))
+        known = dict(zip(distinct, self.numbers(distinct).tolist()))
+        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
 
 
 def _h(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def exchanged(table: np.ndarray, own: int, before: np.ndarray, after: np.ndarray, self_count: float) -> int:
+    """The best class of a unit, to which its counts are moved in the table of class bigrams.
+
+    before, after: counts of its neighbours by class, without those of the unit with itself.
+    """
+    table[:, own] -= before
+    table[own] -= after
+    table[own, own] -= self_count
+    seen, next_ = np.flatnonzero(before), np.flatnonzero(after)
+    gain_in = _h(table[seen] + before[seen, None]) - _h(table[seen])
+    gain_out = _h(table[:, next_] + after[next_]) - _h(table[:, next_])
+    both = table.diagonal()
+    gain = gain_in.sum(0) + gain_out.sum(1)
+    gain[seen] -= gain_in[np.arange(len(seen)), seen]
+    gain[next_] -= gain_out[next_, np.arange(len(next_))]
+    gain += _h(both + before + after + self_count) - _h(both)
+    # its neighbours' pairs with it count for their classes wherever it is
+    rows, columns = table.sum(1) + before, table.sum(0) + after
+    gain -= _h(rows + after.sum() + self_count) - _h(rows) + _h(columns + before.sum() + self_count) - _h(columns)
+    best = int(np.argmax(gain))
+    if gain[best] <= gain[own] + 1e-9:
+        best = own
+    table[:, best] += before
+    table[best] += after
+    table[best, best] += self_count
+    return best
+
+
 def exchange(pairs: np.ndarray, n_classes: int, sweeps: int) -> np.ndarray:
     """The class of each unit, from pairs[v, w], how often w follows v.
 
@@ -68,37 +125,18 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int) -> np.ndarray:
     classes[order] = np.arange(len(pairs)) % n_classes
     member = np.eye(n_classes)[classes]
     table = member.T @ pairs @ member
-    diagonal = np.arange(n_classes)
     for _ in range(sweeps):
         moved = 0
         for w in order:
             if not left[w] + right[w]:
                 continue
-            own, self_count = classes[w], pairs[w, w]
+            own = classes[w]
             before = np.bincount(classes, pairs[:, w], n_classes)
             after = np.bincount(classes, pairs[w], n_classes)
-            before[own] -= self_count
-            after[own] -= self_count
-            table[:, own] -= before
-            table[own] -= after
-            table[own, own] -= self_count
-            into, out = table + before[:, None], table + after[None, :]
-            base = _h(table)
-            gain_in, gain_out = _h(into) - base, _h(out) - base
-            both = table[diagonal, diagonal]
-            gain = gain_in.sum(0) - gain_in[diagonal, diagonal] + gain_out.sum(1) - gain_out[diagonal, diagonal]
-            gain += _h(both + before + after + self_count) - _h(both)
-            rows, columns = table.sum(1), table.sum(0)
-            # rows and columns of the other classes change too when w joins class k, but by the same for every k
-            gain -= _h(rows + right[w]) - _h(rows) + _h(columns + left[w]) - _h(columns)
-            best = int(np.argmax(gain))
-            if gain[best] <= gain[own] + 1e-9:
-                best = int(own)
-            classes[w] = best
-            table[:, best] += before
-            table[best] += after
-            table[best, best] += self_count
-            moved += best != own
+            before[own] -= pairs[w, w]
+            after[own] -= pairs[w, w]
+            classes[w] = exchanged(table, int(own), before, after, pairs[w, w])
+            moved += classes[w] != own
         if not moved:
             break
     return classes
@@ -122,10 +160,15 @@ class ClassModel:
     def parts(self, tokens: list[bytes]) -> tuple[float, float]:
         """log10 of the class steps, and what the words' log10 (count + FLOOR) are lessened by."""
         c = self.classes[self.units.sequence(tokens)]
-        previous = np.concatenate([[self.classes[self.units.of(END)]], c[:-1]])
+        previous = np.roll(c, 1)  # a text begins after the end of another
         return float(self.steps[previous, c].sum()), float(self.spread[c].sum())
 
 
+def log_likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, less what is the same for all classes of the same words."""
+    return float(_h(table).sum() - _h(table.sum(0)).sum() - _h(table.sum(1)).sum())
+
+
 def transitions(pairs: np.ndarray, classes: np.ndarray, n_classes: int, pull: float = 5.0) -> np.ndarray:
     """log10 of class transitions, each row drawn towards the class frequencies by ``pull`` counts."""
     member = np.eye(n_classes)[classes]
@@ -134,37 +177,137 @@ def transitions(pairs: np.ndarray, classes: np.ndarray, n_classes: int, pull: fl
     return np.log10((table + pull * overall) / (table.sum(1, keepdims=True) + pull))
 
 
-def fit(docs: DataFrame, counts: DataFrame, n_frequent: int = 768, n_groups: int = 256, n_classes: int = 64, sweeps: int = 6) -> ClassModel:
-    """A model of docs, whose word counts are counts. The driver gets (n_frequent + n_groups) squared pair counts at most."""
-    units = Units({w: i for i, (w, _) in enumerate(head_words(counts, n_frequent))}, n_groups)
-    size = len(units)
+def pair_counts(texts: DataFrame, label: np.ndarray, size: int) -> np.ndarray:
+    """table[a, b]: how often a word of label b follows one of label a. The driver gets size squared counts at most."""
+    sent = texts.sparkSession.sparkContext.broadcast(label)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                u = units.sequence(tokens_of(text))
-                np.add.at(total, np.concatenate([[units.of(END)], u[:-1]]) * size + u, 1)
+        for tokens, previous, _ in _chunks(batches):
+            np.add.at(total, sent.value[previous].astype(np.int64) * size + sent.value[tokens], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    found = docs.select("text").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size * size, np.int64)
     table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    table = table.reshape(size, size)
-    classes = exchange(table, n_classes, sweeps)
+    return table.reshape(size, size)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, those before and those after them, of many texts at once. The end of a text stands before its first word."""
+    held: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        for text in b.column("numbers").to_pylist():
+            held.append(np.frombuffer(text, "<i4"))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in (texts, [np.roll(t, 1) for t in texts], [np.roll(t, -1) for t in texts]))
+
+
+#: A context is a number: the word's, then the classes before and after it, seven bits each. ITSELF: the same word.
+ITSELF = 127
+
+
+def moves(texts: DataFrame, classes: np.ndarray, n_seeds: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that are placed, and their new classes, where these differ. Each task starts from the same table."""
+    sent = texts.sparkSession.sparkContext.broadcast((classes, table))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = sent.value[0]
+        for tokens, previous, following in _chunks(batches):
+            at = np.flatnonzero(tokens >= n_seeds)
+            word, a, b = tokens[at], previous[at], following[at]
+            left, right = np.where(a == word, ITSELF, classes[a]), np.where(b == word, ITSELF, classes[b])
+            found, n = np.unique((word - n_seeds).astype(np.int64) << 14 | left.astype(np.int64) << 7 | right, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int32))], ["context", "n"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, table = sent.value[0], sent.value[1].astype(np.float64)
+        got = [(b.column("context").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if not got:
+            return
+        found, n = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(found, kind="stable")
+        found, n = found[order], n[order]
+        words, start = np.unique(found >> 14, return_index=True)
+        ends = [*start[1:], len(found)]
+        moved: list[tuple[int, int]] = []
+        k = len(table)
+        for i in np.argsort(-np.add.reduceat(n, start), kind="stable"):
+            f, m, own = found[start[i] : ends[i]], n[start[i] : ends[i]], int(classes[n_seeds + words[i]])
+            before, after = (np.bincount(side, m, ITSELF + 1) for side in (f >> 7 & 127, f & 127))
+            best = exchanged(table, own, before[:k], after[:k], before[ITSELF])
+            if best != own:
+                moved.append((n_seeds + int(words[i]), best))
+        if moved:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*moved), (pa.int64(), pa.int32()))], ["word", "class"])
+
+    found = texts.mapInArrow(contexts, "context long, n int").repartition(F.shiftright("context", 14)).mapInArrow(move, "word long, class int").toArrow()
+    return found.column("word").to_numpy(), found.column("class").to_numpy()
+
+
+def placed_words(counts: DataFrame, units: Units, least: int) -> Units:
+    """units with all words seen at least so often. The driver gets 10 bytes for each."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [w for w in b.column("word").to_pylist() if w not in units.frequent]
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(words)), pa.array([units.group(w) for w in words], pa.int16())], ["hash", "seed"])
+
+    found = counts.filter(F.col("n") >= least).select("word").mapInArrow(keys, "hash long, seed short").toArrow()
+    placed, at = np.unique(found.column("hash").to_numpy(), return_index=True)
+    return Units(units.frequent, units.groups, placed, found.column("seed").to_numpy()[at])
+
+
+def fit(docs: DataFrame, counts: DataFrame, n_frequent: int = 768, n_groups: int = 256, n_classes: int = 64, sweeps: int = 6, least: int = 4, rounds: int = 3) -> ClassModel:
+    """A model of docs, whose word counts are counts.
+
+    First n_frequent words and n_groups groups are clustered on the driver. Then, in ``rounds`` sweeps at most, all other
+    words seen at least ``least`` times are exchanged in tasks; a sweep that doesn't raise the likelihood is dropped.
+    """
+    if n_classes > ITSELF:
+        raise ValueError(f"at most {ITSELF} classes")
+    units = placed_words(counts, Units({w: i for i, (w, _) in enumerate(head_words(counts, n_frequent))}, n_groups), least)
+    sent = docs.sparkSession.sparkContext.broadcast(units)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sent.value.sequence(tokens_of(t)).astype("<i4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["numbers"])
+
+    texts = written(docs.select("text").mapInArrow(numbered, "numbers binary"), "op10 numbers")
+    seeds = np.concatenate([np.arange(units.n_seeds), units.seeds]).astype(np.int16)
+    classes = exchange(pair_counts(texts, seeds, units.n_seeds), n_classes, sweeps)[seeds].astype(np.int8)
+    table = pair_counts(texts, classes, n_classes)
+    for _ in range(rounds if len(units.placed) else 0):
+        word, best = moves(texts, classes, units.n_seeds, table)
+        tried = classes.copy()
+        tried[word] = best
+        found = pair_counts(texts, tried, n_classes)
+        if log_likelihood(found) <= log_likelihood(table):
+            break
+        classes, table = tried, found
+    learnt = docs.sparkSession.sparkContext.broadcast(classes)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(n_classes, np.int64), np.zeros(n_classes, np.int64)
         for b in batches:
-            c = np.fromiter((classes[units.of(w)] for w in b.column("word").to_pylist()), np.int64, len(b))
+            c = learnt.value[sent.value.numbers(b.column("word").to_pylist())]
             n += np.bincount(c, b.column("n").to_numpy(), n_classes).astype(np.int64)
             v += np.bincount(c, minlength=n_classes)
         yield pa.RecordBatch.from_arrays([pa.array(range(n_classes), pa.int32()), pa.array(n), pa.array(v)], ["class", "n", "v"])
 
     sizes = {r["class"]: (r.n, r.v) for r in counts.mapInArrow(by_class, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n, v = (np.array([sizes.get(c, (0, 0))[i] for c in range(n_classes)]) for i in (0, 1))
-    return ClassModel(units, classes, transitions(table, classes, n_classes), np.log10(n + FLOOR * (v + 1)), int(n.sum()), int(v.sum()))
+    return ClassModel(units, classes, transitions(table, np.arange(n_classes), n_classes), np.log10(n + FLOOR * (v + 1)), int(n.sum()), int(v.sum()))
 
 
 def held_out(doc_id: Column) -> Column:
