@@ -15,7 +15,7 @@ from .sharding import op5_interleaved_shards
 from .source_mixing import op4_mix_sources
 from .sql import JACCARD_SQL, mixing_sql, sharding_sql
 from .substring_dedup import ORACLE_SQL as OP1_SQL
-from .substring_dedup import op1_line_dedup
+from .substring_dedup import op1_all_line_dedup, op1_line_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op9_token_counts
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_line_dedup,
+            op1_all_line_dedup,
             op2_benchmark_leaks,
             op3_line_crf,
             op4_mix_sources,

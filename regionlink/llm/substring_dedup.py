@@ -92,6 +92,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 
 
+def op1_all_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that has a word, also short ones and those without blanks, which op1_line_dedup and its SQL leave alone."""
+    return line_dedup(documents(spark, sf_dir), min_words=1)
+
+
 ORACLE_SQL = r"""
 WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS units FROM documents),
 line AS (SELECT doc_id, unnest(units) AS unit, unnest(range(len(units))) AS i FROM cut),

@@ -1,0 +1,23 @@
+"""Line dedup of every line that has a word."""
+
+from __future__ import annotations
+
+from regionlink.llm.entry import queries
+from regionlink.llm.substring_dedup import line_dedup
+
+from .conftest import ODD, rows
+from .test_substring_dedup import brute
+
+LONG = "https://example.org/" + "a" * 500
+
+
+def test_short_lines_and_lines_without_blanks_go(spark):
+    table = [(1, f"Home\n{LONG}\nAbout us\n\n日本語の長い行", *[None] * 6), (2, f"home\n\n{LONG}\nabout  US\n日本語の長い行\nown words", *[None] * 6)]
+    found = rows(line_dedup(spark.createDataFrame([r[:2] for r in table], "doc_id long, text string"), min_words=1))
+    assert found == brute(table, 1)
+    assert [r[-1] for r in found] == [table[0][1], "\nown words"]
+
+
+def test_query_against_brute_force(spark, sf, docs, odd):
+    assert rows(queries()["op1_all_line_dedup"](spark, sf)) == brute([tuple(r) for r in docs.collect()], 1)
+    assert rows(line_dedup(odd, min_words=1)) == brute(ODD, 1)
