@@ -3,8 +3,8 @@
 A window is as many words of a document as a benchmark item has. Windows that share no shingle with the item have similarity
 0, so fingerprints are made only where one is shared: around the places where a shingle of the item would put its start.
 Fingerprints of 64 bits are cut into blocks; two within the radius differ by at most radius / blocks bits in some block, so
-probing all values that near in every block finds every item within the radius. What is found is verified by the weighted
-Jaccard similarity of the shingles with their counts.
+probing all values that near in every block finds every item within the radius. Each window and item that share a shingle,
+beyond the radius too, are verified by the weighted Jaccard similarity of the shingles with their counts.
 
 The items travel to the documents, in groups of bounded size; the documents never move.
 """
@@ -143,10 +143,12 @@ class Benchmark:
         best: dict[int, tuple[float, int, int]] = {}
         for (start, size), items in windows.items():
             bag = Counter(shingles(words[start : start + size]))
-            near = self.index.near(fingerprint(bag))
+            fp = fingerprint(bag)
+            near = self.index.near(fp)
             for item in items:
-                if item in near and (x := similarity(bag, self.bags[item])) >= self.least:
-                    best[item] = max(best.get(item, (0.0, 0, 0)), (x, -start, near[item]))
+                # counts can set similar windows far apart, so those beyond the radius are verified too
+                if (x := similarity(bag, self.bags[item])) >= self.least:
+                    best[item] = max(best.get(item, (0.0, 0, 0)), (x, -start, near[item] if item in near else (self.index.prints[item] ^ fp).bit_count()))
         return [(item, -start, x, d) for item, (x, start, d) in sorted(best.items())]
 
 
@@ -162,8 +164,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: in
 
     One row for each row of docs and item of which a window is at least ``least`` similar: its most similar one. Words are runs
     of anything but ASCII white space, A-Z in lower case; shingles are five words, or all words of a shorter item. A text
-    shorter than the item is one window. radius: the search finds every window within so many bits; at similarity 0.75 a
-    distance above 23 of 64 is about four deviations away. Items without words and texts without words, null or empty, match
+    shorter than the item is one window. radius: the index finds every window within so many bits; at similarity 0.75 a
+    distance above 23 of 64 is rare without repeated shingles, but not with them, so windows that share a shingle are verified
+    at any distance and none is missed. Items without words and texts without words, null or empty, match
     nothing. An item id that stands for several texts gives a row for each text found. Repeated rows give their rows. Empty
     tables give no rows.
     """
