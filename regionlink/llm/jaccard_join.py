@@ -8,8 +8,8 @@ prefixes are extended until their classes count for enough. Candidates are verif
 
 Document frequencies come from an exchange of sorted token lists between blocks of documents and ranges of tokens: blocks
 send what they hold, ranges answer with the tokens that are not unique. Nothing is broadcast. Equal texts are one text from
-the start. Components are found by comparing each signature's documents with its most typical one first, and only documents
-that this leaves apart with one another.
+the start. Components are found by comparing each signature's documents with its most typical one first. Documents that this
+leaves apart are joined once more, by what sets them apart from that one.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ FREQUENT = 16
 CLASS = 6
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY, _TEXT = 0, 1
-#: 64-bit words of the bitmap of a set, and how many of its smallest signatures travel with it.
-_WORDS, _LOW = 4, 8
 
 
 def tokens(text: str | None, known: dict[bytes, int] | None = None) -> np.ndarray:
@@ -116,22 +114,25 @@ def signatures(h: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def bitmap(h: np.ndarray) -> list[int]:
-    """A bit for each token: what one set's bitmap has and another's lacks are tokens that the other surely lacks."""
-    bits = np.zeros(64 * _WORDS, np.uint8)
-    bits[(h >> np.uint64(7)) % np.uint64(64 * _WORDS)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def in_common(a: bytes, b: bytes) -> int:
+    """How many integers two packed sets share."""
+    return len(np.intersect1d(unpacked(a), unpacked(b), assume_unique=True))
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    """Of two packed sets: shared * DEN >= union * NUM."""
-    x, y = unpacked(a), unpacked(b)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return DEN * shared >= NUM * (len(x) + len(y) - shared)
+def apart_by(centre: bytes, own: bytes, n: int) -> tuple[int, np.ndarray]:
+    """What sets a set of n tokens apart from a centre: 4 x what it lacks + 3 x what it has besides, and these tokens.
+
+    Tokens are those found in several documents: own are the set's, centre may be any set. What the set has besides comes
+    first, then what it lacks, both by token, so that sets compared with one centre have one order.
+    """
+    c, x = unpacked(centre), unpacked(own)
+    more = x[~np.isin(x, c, assume_unique=True)]
+    less = c[~np.isin(c, x, assume_unique=True)]
+    return DEN * len(less) + NUM * (n - (len(c) - len(less))), np.concatenate([more, less])
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "byte": pa.int8(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "byte": pa.int8(), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
@@ -139,11 +140,15 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 _ASKED = "range int, block int, tokens binary, counts binary"
 _TOLD = "block int, range int, places binary, counts binary"
-_OUT = "kind byte, key binary, n int, shared int, typical double, signature long, tokens binary, bits array<long>, low array<long>"
+_OUT = "kind byte, key binary, n int, shared int, typical double, signature long, tokens binary"
+_APART = "c binary, node binary, own binary, far boolean, size int, v int, tokens array<long>"
 
 
 def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> DataFrame:
-    """_OUT rows of texts (key, text): a line _TEXT with the size of each set, with its tokens if it has signatures, and a line _ENTRY for each of these."""
+    """_OUT rows of texts (key, text): a line _TEXT with the size of each set, and a line _ENTRY for each of its signatures.
+
+    If it has any, its tokens that are in other texts too are with the former; no set shares any other.
+    """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     #: blocks of documents and ranges of tokens: cells of both hold few tokens, and blocks have a limit
     n = max(1, -(-size // block_bytes), math.isqrt(size // cell_bytes))
@@ -208,8 +213,8 @@ def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> Da
             shared = int(np.count_nonzero(own > 1))
             if len(found):
                 typical = float(np.log2(own).mean())
-                rows += [(_ENTRY, k, len(h), shared, typical, s, None, None, None) for s in found.view(np.int64).tolist()]
-            rows.append((_TEXT, k, len(h), shared, 0.0, 0, *((packed(h), bitmap(h), np.unique(found.view(np.int64))[:_LOW].tolist()) if len(found) else (None, None, None))))
+                rows += [(_ENTRY, k, len(h), shared, typical, s, None) for s in found.view(np.int64).tolist()]
+            rows.append((_TEXT, k, len(h), shared, 0.0, 0, packed(h[own > 1]) if len(found) else None))
         return pa.Table.from_batches([_batch(rows, _OUT)])
 
     asked = blocks.groupBy("block").applyInArrow(ask, _ASKED)
@@ -222,21 +227,63 @@ def _fits(a: Column, b: Column) -> Column:
     return (NUM + DEN) * F.least(a["shared"], b["shared"]) >= NUM * (a["n"] + b["n"])
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Whether two sets can be similar: each lacks the tokens for whose bits the other has none."""
-    lacks = lambda p, q: reduce(Column.__add__, (F.bit_count(F.get(p["bits"], F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q["bits"], F.lit(i))))) for i in range(_WORDS)))
-    return (NUM + DEN) * F.least(a["n"] - lacks(a, b), b["n"] - lacks(b, a)) >= NUM * (a["n"] + b["n"])
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) of pairs whose sets are similar."""
+    """Those (a, b) of pairs whose sets are similar. sets: (key, n, tokens)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([similar(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_())).select(["a", "b"])
+            least = [-(-NUM * n // (NUM + DEN)) for n in b.column("n").to_pylist()]
+            yield b.filter(pa.array([in_common(x, y) >= k for x, y, k in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), least)], pa.bool_())).select(["a", "b"])
 
-    of = lambda key, name: sets.select(F.col("key").alias(key), F.col("tokens").alias(name))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    of = lambda key, name: sets.select(F.col("key").alias(key), F.col("tokens").alias(name), F.col("n").alias(f"n_{name}"))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(check, "a binary, b binary")
+
+
+def _elsewhere(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar, of members (c, node, own, far) of one centre c that are in different components.
+
+    far: whether the member is outside its centre's component; one of a pair is. A pair of sets is similar if and only if
+    7 x (tokens in which both differ from the centre alike) >= v of the one + v of the other - size of the centre, v as
+    apart_by() gives it. So similar sets have some of these tokens among the first of both: prefixes of the differences
+    are joined by centre and token, and by steps of v, for which prefixes can be the shorter the larger v is. What near copies
+    differ in is rarely the same, so few meet, however many share the centre.
+    """
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [apart_by(x, y, n) for x, y, n in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("n").to_pylist())]
+            columns = [pa.array([v for v, _ in found], pa.int32()), pa.array([t.view(np.int64) for _, t in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("c", "node", "own", "far", "size")), *columns], [f.split()[0] for f in _APART.split(", ")])
+
+    centres = sets.select(F.col("key").alias("c"), F.col("tokens").alias("x"), F.col("held").alias("size"))
+    each = members.join(centres, "c").join(sets.select(F.col("key").alias("node"), F.col("tokens").alias("y"), "n"), "node")
+    each = written(each.select("c", "node", "own", "far", "size", "x", "y", "n").mapInArrow(differ, _APART), "op8 differences")
+
+    step = lambda v: F.floor(4 * F.log2(v + 1.0))
+    lowest = lambda k: F.ceil(F.pow(F.lit(2.0), k / 4) - 1.0 - 1e-6)
+    least = lambda v, w: F.greatest(F.ceil((v + w - F.col("size")) / (NUM + DEN)), F.lit(1))
+    bounds = each.groupBy("c").agg(F.min("v").alias("any_v"), F.min(F.when(F.col("far"), F.col("v"))).alias("far_v"))
+    held = F.size("tokens")
+    each = each.join(bounds, "c").withColumn("step", step(F.col("v")))
+    # sets whose v together is not above the centre's size are similar whatever they differ in: a star says the same as all pairs
+    middle = each.groupBy("c").agg(F.min(F.struct("v", "node", "own")).alias("m")).select("c", F.col("m.v").alias("m_v"), F.col("m.node").alias("m_node"), F.col("m.own").alias("m_own"))
+    star = each.join(middle, "c").filter((F.col("v") + F.col("m_v") <= F.col("size")) & (F.col("own") != F.col("m_own"))).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
+
+    x = each.filter(F.col("far") & (least(F.col("v"), F.col("any_v")) <= held))
+    y = each.filter(least(F.col("v"), F.col("far_v")) <= held)
+    steps = lambda side, name: side.groupBy("c").agg(F.collect_set("step").alias(name))
+
+    def dealt(side: DataFrame, other: DataFrame, mine: str, theirs: str, name: str) -> DataFrame:
+        rows = side.join(steps(other, "others"), "c").select("c", "node", "own", "size", "v", "tokens", F.col("step").alias(mine), F.explode("others").alias(theirs))
+        first = rows.withColumn("first", held - least(F.col("v"), lowest(F.col(theirs))) + 1).filter("first > 0")
+        return first.select("c", mine, theirs, F.explode(F.expr("slice(tokens, 1, int(first))")).alias("token"), F.struct("node", "own", "size", "v", held.alias("held")).alias(name))
+
+    p, q = F.col("p"), F.col("q")
+    enough = F.ceil((p["v"] + q["v"] - p["size"]) / (NUM + DEN)) <= F.least(p["held"], q["held"])
+    keys = ["c", "far_step", "any_step", "token"]
+    right = dealt(y, x, "any_step", "far_step", "q").select(*(F.col(k).alias(f"_{k}") for k in keys), "q")
+    met = dealt(x, y, "far_step", "any_step", "p").join(right, reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys)) & (p["own"] != q["own"]) & enough)
+    return met.select(F.least(p["node"], q["node"]).alias("a"), F.greatest(p["node"], q["node"]).alias("b")).unionAll(star).distinct()
 
 
 def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
@@ -245,29 +292,22 @@ def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame,
     out = written(prefixes(texts, block_bytes), "op8 prefixes")
     sets = out.filter(F.col("kind") == _TEXT)
     entries = out.filter(F.col("kind") == _ENTRY).select("signature", F.struct("typical", "key", "n", "shared").alias("doc"))
-    having = sets.filter("tokens is not null").select("key", "tokens")
+    having = sets.filter("tokens is not null").select("key", "n", F.col("shared").alias("held"), "tokens")
 
     typical = entries.groupBy("signature").agg(F.max("doc").alias("centre"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
-    # one row for each document and most typical one of its signatures, with these
-    near = entries.join(typical, "signature").groupBy(F.col("centre.key").alias("c"), F.col("doc.key").alias("node")).agg(F.max("centre").alias("centre"), F.max("doc").alias("doc"), F.collect_list("signature").alias("signatures"))
+    # one row for each document and most typical one of its signatures
+    near = entries.join(typical, "signature").groupBy(F.col("centre.key").alias("c"), F.col("doc.key").alias("node")).agg(F.max("centre").alias("centre"), F.max("doc").alias("doc"))
     near = written(near, "op8 near")
     pairs = near.filter((F.col("c") != F.col("node")) & _fits(F.col("centre"), F.col("doc"))).select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
     edges = written(_verified(pairs, having), "op8 links")
     found = components(edges)
 
     # documents that a signature's most typical one didn't link, with all others of the signature that are elsewhere
-    placed = near.select("c", "node", "signatures", "doc.n", "doc.shared").join(found, "node", "left")
-    placed = placed.join(found.select(F.col("node").alias("c"), F.col("component").alias("main")), "c", "left").select("c", "node", "signatures", "n", "shared", F.coalesce("component", "node").alias("own"), F.coalesce("main", "c").alias("main"))
+    placed = near.select("c", "node").join(found, "node", "left")
+    placed = placed.join(found.select(F.col("node").alias("c"), F.col("component").alias("main")), "c", "left").select("c", "node", F.coalesce("component", "node").alias("own"), (F.coalesce("component", "node") != F.coalesce("main", "c")).alias("far"))
     placed = written(placed, "op8 apart")
-    open_centres = placed.filter("own <> main").select("c").distinct()
-    extras = sets.filter("bits is not null").select(F.col("key").alias("node"), "bits", "low")
-    wide = placed.join(open_centres, "c", "left_semi").join(extras, "node").select(F.explode("signatures").alias("signature"), F.struct(F.col("node").alias("key"), "n", "shared", "own", "bits", "low").alias("doc"), (F.col("own") != F.col("main")).alias("apart"))
-    x, y = F.col("x"), F.col("y")
-    first = F.array_min(F.array_intersect(x["low"], y["low"]))
-    # a pair with a signature in common among the smallest of both meets there only; both lists have it
-    here = first.isNull() | (first == F.col("signature"))
-    more = wide.filter("apart").select("signature", F.col("doc").alias("x")).join(wide.select(F.col("signature").alias("s"), F.col("doc").alias("y")), (F.col("signature") == F.col("s")) & (x["own"] != y["own"]) & _fits(x, y) & _overlap(x, y) & here)
-    more = more.select(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    open_centres = placed.filter("far").select("c").distinct()
+    more = _elsewhere(placed.join(open_centres, "c", "left_semi"), having).join(pairs, ["a", "b"], "left_anti")
     new = written(_verified(more, having), "op8 links")
     if not new.isEmpty():
         found = joined(found, new)

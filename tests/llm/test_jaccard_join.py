@@ -100,3 +100,29 @@ def test_against_brute_force(spark, docs):
 def test_odd_rows(odd, empty):
     assert rows(J.jaccard_classes(odd)) == brute(ODD)
     assert rows(J.jaccard_classes(empty)) == []
+
+
+def test_differences_from_a_centre():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        every = np.unique(rng.integers(0, 2**63, 60, np.uint64))
+        c, x, y = (np.sort(rng.choice(every, int(rng.integers(1, 50)), False)) for _ in range(3))
+        # tokens that no other text has count, but are not listed
+        nx, ny = len(x) + int(rng.integers(0, 5)), len(y) + int(rng.integers(0, 5))
+        (v, dx), (w, dy) = (J.apart_by(J.packed(c), J.packed(s), n) for s, n in ((x, nx), (y, ny)))
+        shared = len(np.intersect1d(x, y))
+        assert (J.DEN * shared >= J.NUM * (nx + ny - shared)) == ((J.NUM + J.DEN) * len(np.intersect1d(dx, dy)) >= v + w - len(c))
+
+
+@pytest.mark.parametrize("edits", [(0, 1, 2, 3, 4, 5, 6, 8), (4, 5, 6)])
+def test_a_large_group_of_near_copies_around_one_text(spark, edits):
+    rng = random.Random(len(edits))
+    base = [f"b{i}" for i in range(110)]
+    table = []
+    for i in range(500):
+        text = list(base)
+        for _ in range(rng.choice(edits)):
+            at = rng.randrange(len(text))
+            rng.choice([lambda: text.pop(at), lambda: text.insert(at, rng.choice("xyz")), lambda: text.__setitem__(at, f"n{rng.randrange(400)}")])()  # noqa: B023
+        table.append((i, " ".join(text[: rng.choice([110, 110, 95])]), *[None] * 6))
+    assert rows(J.jaccard_classes(spark.createDataFrame(table, SCHEMA), block_bytes=20_000)) == brute(table)
