@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +52,36 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def fragments(raws: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(text number, start, windows, anchor) of each run of windows with one anchor."""
+def _fold(grams: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of the grams in any range comes by one subtraction (see _range_hash)."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * _powers(int(_M[1]))[: len(grams)])])
+
+
+@lru_cache
+def _powers(base: int) -> np.ndarray:
+    """As many as there can be grams in one go."""
+    return np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * _CHUNK + 999, base, np.uint64)))
+
+
+def _range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same for equal ranges of grams, wherever they start."""
+    back = _powers(pow(int(_M[1]), -1, 1 << 64))
+    return _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _M[2])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M[3]
+    x = (x ^ (x >> np.uint64(29))) * _M[4]
+    return x ^ (x >> np.uint64(32))
+
+
+#: What is known of a fragment: its first window, how many windows, its anchor, and the hash of its bytes.
+_CUT = np.dtype([("start", "<i4"), ("windows", "<i4"), ("anchor", "<i8"), ("fragment", "<i8")])
+
+
+def fragments(raws: list[bytes], length: int) -> list[np.ndarray]:
+    """For each text its fragments (_CUT), the runs of windows with one anchor, in order."""
+    out: list[list[np.ndarray]] = [[] for _ in raws]
     pieces: list[tuple[int, int, bytes]] = []
     held = 0
     for i, raw in enumerate(raws):
@@ -60,13 +90,14 @@ def fragments(raws: list[bytes], length: int) -> Iterator[tuple[int, int, int, i
             pieces.append((i, at, part))
             held += len(part)
             if held >= _CHUNK:
-                yield from _runs(pieces, length)
+                _runs(pieces, length, out)
                 pieces, held = [], 0
     if pieces:
-        yield from _runs(pieces, length)
+        _runs(pieces, length, out)
+    return [np.concatenate(x) if x else np.empty(0, _CUT) for x in out]
 
 
-def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
+def _runs(pieces: list[tuple[int, int, bytes]], length: int, out: list[list[np.ndarray]]) -> None:
     sizes = np.array([len(p) for _, _, p in pieces])
     first = np.cumsum(sizes) - sizes
     grams = _grams(np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8))
@@ -80,10 +111,15 @@ def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> Iterator[tuple[i
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
     at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(anchor))
-    number = np.array([i for i, _, _ in pieces])[piece[at]]
-    offset = np.array([o for _, o, _ in pieces])[piece[at]]
-    return zip(number.tolist(), (window[at] + offset).tolist(), (ends - at).tolist(), grams[anchor[at]].view(np.int64).tolist())
+    found = np.empty(len(at), _CUT)
+    own = piece[at]
+    found["windows"] = np.append(at[1:], len(anchor)) - at
+    found["start"] = window[at] + np.array([o for _, o, _ in pieces])[own]
+    found["anchor"] = grams[anchor[at]].view(np.int64)
+    begin = window[at] + first[own]
+    found["fragment"] = _range_hash(_fold(grams), begin, begin + found["windows"] + length - GRAM).view(np.int64)
+    for (i, _, _), a, b in zip(pieces, *(np.searchsorted(own, np.arange(len(pieces)), side) for side in ("left", "right"))):
+        out[i].append(found[a:b])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +133,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _TEXT = "key binary, text binary"
+_CUTS = "key binary, cuts binary"
 _SEEN = "anchor long, fragment long, place long"
 _PLACED = "anchor long, fragment long, key binary, start int, windows int"
 _SENT = "shard int, hot boolean, anchor long, fragment long, many boolean, body binary"
@@ -127,6 +164,13 @@ def _digest(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
+def _uncut(b: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """All fragments of a batch of _CUTS, by field, and the row of each."""
+    raws = b.column("cuts").to_pylist()
+    found = np.frombuffer(b"".join(raws), _CUT)
+    return {n: np.ascontiguousarray(found[n]) for n in _CUT.names}, np.repeat(np.arange(len(raws)), [len(r) // _CUT.itemsize for r in raws])
+
+
 def repeated_in(parts: list[tuple[bytes, bool]], length: int, memory_items: int) -> list[list[int]]:
     """For each (fragment, whether it is found several times): bounds of its windows that are found elsewhere too."""
     body = np.concatenate([np.append(np.frombuffer(raw, np.uint8).astype(np.int32) + 2, 1) for raw, _ in parts] + [np.zeros(1, np.int32)])
@@ -153,7 +197,7 @@ def repeated_in(parts: list[tuple[bytes, bool]], length: int, memory_items: int)
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000, memory_items: int = 20_000_000, hot: int = 4000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000, memory_items: int = 300_000, hot: int = 4000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     length: of the strings. shard_bytes: of fragments that are sorted together, about. memory_items: more items of a sort go
@@ -167,22 +211,29 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
     rows = rows.withColumn("key", row_key(F.col("text")))
     texts = rows.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_once, _TEXT)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, raws = b.column("key").to_pylist(), b.column("text").to_pylist()
-            for i, start, windows, anchor in fragments(raws, length):
-                yield keys[i], raws[i][start : start + windows + length - 1], start, windows, anchor
+            found = fragments(b.column("text").to_pylist(), length)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "cuts"])
+
+    cuts = written(texts.mapInArrow(cut, _CUTS), "op7 cuts")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(((anchor, _digest(raw), _digest(key + start.to_bytes(8))) for key, raw, start, _, anchor in cut(batches)), _SEEN)
+        for b in batches:
+            found, row = _uncut(b)
+            owner = np.frombuffer(b"".join(k[:8] for k in b.column("key").to_pylist()), "<u8")[row]
+            place = _mix(owner + found["start"].astype(np.uint64) * _M[5])
+            yield pa.RecordBatch.from_arrays([pa.array(found["anchor"]), pa.array(found["fragment"]), pa.array(place.view(np.int64))], ["anchor", "fragment", "place"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(((anchor, _digest(raw), key, start, windows) for key, raw, start, windows, anchor in cut(batches)), _PLACED)
+        for b in batches:
+            found, row = _uncut(b)
+            yield pa.RecordBatch.from_arrays([pa.array(found["anchor"]), pa.array(found["fragment"]), b.column("key").take(pa.array(row)), pa.array(found["start"]), pa.array(found["windows"])], ["anchor", "fragment", "key", "start", "windows"])
 
-    again = texts.mapInArrow(seen, _SEEN).groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("fragment", "place") for f, n in ((F.min, "min"), (F.max, "max"))))
+    again = cuts.mapInArrow(seen, _SEEN).groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("fragment", "place") for f, n in ((F.min, "min"), (F.max, "max"))))
     again = again.filter("min_place < max_place").select("anchor", (F.col("min_fragment") < F.col("max_fragment")).alias("mixed"))
     # rows of equal texts in several tasks are one place
-    found = written(texts.mapInArrow(placed, _PLACED).join(again, "anchor"), "op7 fragments")
+    found = written(cuts.mapInArrow(placed, _PLACED).join(again, "anchor"), "op7 fragments")
 
     mixed = found.filter("mixed").groupBy("anchor", "fragment").agg(F.min(F.struct("key", "start", "windows")).alias("one"), F.max(F.struct("key", "start", "windows")).alias("other"))
     mixed = mixed.select("anchor", "fragment", "one.*", (F.col("one") < F.col("other")).alias("many"))
@@ -230,17 +281,26 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for key, raw, parts in zip(*(b.column(c).to_pylist() for c in ("key", "text", "parts"))):
-                    cuts = sorted((p["start"] + x, p["start"] + y + length) for p in parts or () for x, y in zip(p["bounds"][::2], p["bounds"][1::2]))
+                parts = b.column("parts")
+                inner = parts.flatten()
+                bounds = inner.field("bounds")
+                n_bounds = pc.list_value_length(bounds).to_numpy(zero_copy_only=False) // 2
+                places = np.repeat(inner.field("start").to_numpy(), n_bounds)
+                ends = bounds.flatten().to_numpy().reshape(-1, 2)
+                lo, hi = places + ends[:, 0], places + ends[:, 1] + length
+                of_part = np.concatenate([[0], np.cumsum(n_bounds)])
+                of_row = of_part[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False))])]
+                for key, raw, x, y in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), of_row.tolist(), of_row[1:].tolist()):
                     kept, upto, gone, n = hashlib.sha256(), 0, 0, 0
-                    for x, y in cuts:
-                        if x > upto or not n:
-                            kept.update(raw[upto:x])
-                            n += 1
-                            gone += y - x
-                        else:
-                            gone += max(0, y - upto)
-                        upto = max(upto, y)
+                    if x < y:
+                        order = np.argsort(lo[x:y], kind="stable")
+                        start, reach = lo[x:y][order], np.maximum.accumulate(hi[x:y][order])
+                        new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+                        n = len(new)
+                        for begin, end in zip(start[new].tolist(), reach[np.append(new[1:] - 1, y - x - 1)].tolist()):
+                            kept.update(raw[upto:begin])
+                            gone += end - begin
+                            upto = end
                     kept.update(raw[upto:])
                     yield key, gone, n, kept.hexdigest()
 
