@@ -158,7 +158,9 @@ def train(sequences: list[tuple[list[int], int]], steps: int = 120, rate: float
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> LineModel:
     """A model from at most ``sample`` labelled documents: those with the smallest hashes of their ids, both labels together.
 
-    Labels other than 0 and 1 don't count; a document with several labels counts as good if one is.
+    Labels other than 0 and 1 don't count; a document with several labels counts as good if one is. Of several texts with one
+    id, the one with the least digest is taken, so that the driver gets ``sample`` documents at most. Without labels, or with
+    one kind only, the model is the prior one. Nulls and empty texts are documents of one blank line.
     """
     labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
@@ -169,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> LineModel:
             lines = pa.array([text_features(x) for x in b.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), lines], ["doc_id", "quality", "lines"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, schema).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.min_by(F.coalesce("text", F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text"))
+    rows = one.mapInArrow(features, schema).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lines))
     return train([(r.lines, r.quality) for r in rows])
 
@@ -240,7 +244,11 @@ def line_quality(docs: DataFrame, model: LineModel, threshold: float = 0.5) -> D
 
 
 def keep_content(docs: DataFrame, model: LineModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep."""
+    """The rows of docs, with all their columns, that line_quality() keeps: without rows whose text is null or empty.
+
+    Rows with equal text fare alike, repeated rows and null ids too. Texts of any length are judged whole. An empty table
+    stays empty.
+    """
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,30 @@ def test_filter_keeps_columns(odd, empty):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} <= {r[0] for r in ODD}
     assert keep_content(empty, PRIOR).count() == 0
+
+
+def test_verdict_against_all_labellings(spark):
+    """kept and content_share from the best of all labellings of the lines, by their sum of scores."""
+    rng = random.Random(8)
+    model = LineModel(tuple(rng.uniform(-2, 2) for _ in FEATURES), ((0.7, -0.4), (-0.3, 0.9)), (0.2, -0.1))
+    lines = ["Home", "MENU | LOGIN", "", "* * *", "A sentence of some words, and it ends here.", "more words without an end " * 3, "© 2020 All rights reserved", "12 34 56"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    found = {r.doc_id: r for r in line_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        feats = text_features(text)
+
+        def value(path, feats=feats):
+            return model.start[path[0]] + sum(model.score(x) for x, y in zip(feats, path) if y) + sum(model.trans[a][b] for a, b in zip(path, path[1:]))
+
+        best = max(itertools.product((0, 1), repeat=len(feats)), key=value)
+        sizes = [len(x.split()) for x in text.split("\n")]
+        share = sum(n for n, y in zip(sizes, best) if y) / sum(sizes) if sum(sizes) else 0.0
+        assert abs(found[i].content_share - share) < 1e-9
+        assert found[i].kept == (not base(text)[-1] and share >= 0.5)
+
+
+def test_a_sample_has_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} of one id\nmenu") for i in range(50)] + [(2, "menu\nmenu\nmenu"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 5), (3, 0), (None, 1)], "doc_id long, quality int")
+    assert fit(docs, labels) == fit(docs.repartition(7), labels)
+    assert fit(docs.limit(0), labels) == fit(docs, labels.limit(0)) == PRIOR
