@@ -44,9 +44,11 @@ def row_key(*cols: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (one machine, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, on one machine, as in tests, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         path = tempfile.mkdtemp(prefix="regionlink-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -55,13 +57,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder and read again: the lineage is cut, and a lost executor loses none of it.
 
-    The table is removed when the process ends.
+    The table is removed by discard(), or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{re.sub('[^a-z0-9]+', '_', name)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() gave and that nothing reads any more."""
+    for df in tables:
+        _drop(df.sparkSession, df.written_to)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
