@@ -2,18 +2,16 @@
 
 Rows are ranked in a seeded shuffle within each source; rank r of n rows becomes the fraction (2r + 1) / 2n. Sorted by
 fraction, the sources are mixed evenly everywhere, and cutting that order into equal runs gives every shard the mixture.
-Ranks and positions are found bucket by bucket (see ordering), so no source and no sort lands in one task.
+Ranks and positions are found range by range (see ordering), so no source and no sort lands in one task.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, n_bytes, written
-from .ordering import placed, seeded_hash, source_key
+from .common import documents, n_bytes
+from .ordering import numbered, placed, positioned, seeded_hash, source_key
 
 
 def interleave(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, int]:
@@ -28,17 +26,11 @@ def interleave(docs: DataFrame, seed: int = 5) -> tuple[DataFrame, int]:
         (n_bytes(F.col("text")) + 1).alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows = written(narrow, "op5 rows")
-    n = rows.count()
+    rows = numbered(narrow, "op5 rows")
     totals = rows.groupBy("source").agg(F.count("*").alias("source_rows"))
-    ranked = placed(rows, n, F.lit(1)).withColumnRenamed("before", "rank").join(totals, "source")
-    runs = max(1, math.isqrt(n))
-    ranked = ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("source_rows")).cast("double")).withColumn("run", F.floor(F.col("fraction") * runs))
-    counts = ranked.groupBy("run").agg(F.count("*").alias("_n"))
-    # one row for each run: the root of the row count
-    offsets = counts.select("run", F.coalesce(F.sum("_n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("run").orderBy("fraction", "source", "hash", "doc_id")
-    return ranked.withColumn("_place", F.row_number().over(inside)).join(offsets, "run").withColumn("position", (F.col("_offset") + F.col("_place") - 1).cast("long")).drop("_offset", "_place", "run"), n
+    ranked = placed(rows, F.lit(1), "op5 order").withColumnRenamed("before", "rank").join(totals, "source")
+    ranked = ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("source_rows")).cast("double"))
+    return positioned(ranked, ["fraction", "source", "hash", "doc_id", "uid"], "op5 positions").drop("uid"), rows.count()
 
 
 def shards(docs: DataFrame, n_shards: int = 8, seed: int = 5) -> DataFrame:

@@ -1,21 +1,26 @@
-"""Mixing sources to target weights (4) [native]: blocks of tokens, multinomial slot counts, index permutations, a join by index.
+"""Mixing sources to target weights (4) [native]: blocks of tokens, multinomial source counts, index permutations, a join by index.
 
-The tokens of each source, its documents in seeded order, are cut into blocks of fixed length. A source gets as many slots
-as its target holds blocks, and each slot is drawn to an output shard, which makes the source's counts by shard multinomial,
-given that they sum to its target. Slot j of a source takes block p(j), p a pseudorandom permutation of the source's block
-numbers, another one for each time that the source is gone through. Slots and blocks meet in a join by source and number.
+The tokens of each source, its documents in seeded order, are cut into blocks of fixed length. Each output shard draws how many
+blocks of each source it holds: the counts are multinomial, given that those of a source sum to its target over all shards.
+They number the shard's slots of the source. Slot j of a source takes block p(j), p a pseudorandom permutation of the
+source's block numbers, another one for each time that the source is gone through. Slots and blocks meet in a join by source
+and number, and what a document gives to each shard is summed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, n_words, written
-from .ordering import placed, seeded_hash, source_key
+from .ordering import numbered, placed, seeded_hash, source_key
 
-#: Slots are listed in two steps of at most so many each, so that the largest source is listed by many tasks.
+#: Slots are listed in two steps, the second of so many at most.
 _CHUNK = 4096
+#: Slots that one task lists, about.
+_TASK = 250_000
 #: A prime above any number of blocks; products of two numbers below it fit in 64 bits.
 _PRIME = 2_147_483_647
 _ROUNDS = 12
@@ -56,47 +61,73 @@ def permuted(index: Column, n: Column, tweak: Column) -> Column:
     return F.aggregate(rounds, index.cast("long"), swapped)
 
 
+def _listed(spans: DataFrame, n: Column, name: str, n_slots: int) -> DataFrame:
+    """spans, each row once for each number from 0 to n - 1 (name); in two steps, between which they are dealt to many tasks."""
+    columns = spans.columns
+    chunks = spans.withColumn("_n", n.cast("long")).filter("_n > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_CHUNK).cast("long"))))
+    dealt = chunks.repartition(max(1, -(-n_slots // _TASK)), *columns, "_chunk")
+    return dealt.select(*columns, F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + _CHUNK, F.col("_n")) - 1)).alias(name))
+
+
+def drawn(goals: DataFrame, n_shards: int, seed: int, n_slots: int) -> DataFrame:
+    """(source, n_blocks, shard, first, count): how many slots of each source an output shard has, and the first one's number.
+
+    goals: (source, n_blocks, slots). Each slot of a source falls to a shard by a uniform draw, so the counts of a source over
+    the shards are multinomial and sum to its slots. A row for each source and shard.
+    """
+    each = _listed(goals, F.col("slots"), "_draw", n_slots)
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "source", F.col("_draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n_shards
+    counts = each.groupBy("source", "n_blocks", draw.cast("int").alias("shard")).agg(F.count("*").alias("count"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long"))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, n_shards: int = 8, seed: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, source, hash, size, bucket, place, before, source_size, target), pieces and slots.
+    """rows (doc_id, source, hash, size, uid, before, source_size, target), pieces and slots.
 
-    pieces: (source, block, bucket, place, words): words of a row that lie in a block of its source. slots: (source, slot,
-    shard, block): which block a slot takes, and the output shard that it was drawn to.
+    pieces: (source, block, uid, words): words of a row that lie in a block of its source. slots: (source, slot,
+    shard, block): the slots that each output shard has drawn, and which block each takes. A source of 2^31 blocks or more is
+    refused: block is to be larger then.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), seeded_hash(seed, F.col("doc_id"), F.col("text")).alias("hash"), n_words(F.col("text").cast("string")).alias("size"))
-    rows = written(narrow, "op4 rows")
+    rows = numbered(narrow, "op4 rows")
+    words = rows.agg(F.sum("size")).first()[0] or 0
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goals = written(goals, "op4 targets")
-    rows = placed(rows, rows.count(), F.col("size")).join(goals, "source")
+    rows = placed(rows, F.col("size"), "op4 order").join(goals, "source")
 
+    n_slots = int(words * share) // block + 1
     n_blocks = F.ceil(F.col("source_size") / block)
-    slots = (
-        goals.filter("source_size > 0")
-        .select("source", n_blocks.alias("n_blocks"), F.when(F.col("target") >= F.col("source_size") * most, n_blocks * int(most)).otherwise(F.least(F.round(F.col("target") / block), n_blocks * int(most))).cast("long").alias("n_slots"))
-        .filter("n_slots > 0")
-        .select("source", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_slots") - 1).cast("long"), F.lit(_CHUNK).cast("long"))).alias("_chunk"))
-        .repartition("source", "_chunk")
-        .select("source", "n_blocks", F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + _CHUNK, F.col("n_slots")) - 1)).alias("slot"))
-    )
-    slots = slots.select("source", "slot", F.pmod(F.hash("source", "slot", F.lit(seed)), F.lit(n_shards)).alias("shard"), permuted(F.expr("slot % n_blocks"), F.col("n_blocks"), F.expr("slot div n_blocks") * 7919 + seed).alias("block"))
+    wanted = F.when(F.col("target") >= F.col("source_size") * most, n_blocks * int(most)).otherwise(F.least(F.round(F.col("target") / block), n_blocks * int(most))).cast("long")
+    refused = F.raise_error(F.concat(F.lit("too many blocks in source "), F.col("source"), F.lit(": take larger ones"))).cast("long")
+    checked = goals.filter("source_size > 0").select("source", F.when(n_blocks < _PRIME, n_blocks).otherwise(refused).alias("n_blocks"), wanted.alias("slots"))
+    counts = written(drawn(checked, n_shards, seed, n_slots), "op4 counts")
+    slots = _listed(counts, F.col("count"), "_slot", n_slots).select("source", "n_blocks", "shard", (F.col("first") + F.col("_slot")).alias("slot"))
+    slots = slots.select("source", "slot", "shard", permuted(F.expr("slot % n_blocks"), F.col("n_blocks"), F.expr("slot div n_blocks") * 7919 + seed).alias("block"))
 
     end = F.col("before") + F.col("size")
     first, last = F.expr(f"before div {block}"), F.expr(f"(before + size - 1) div {block}")
-    pieces = rows.filter("size > 0").select("source", "bucket", "place", "before", end.alias("end"), F.explode(F.sequence(first, last)).alias("block"))
-    pieces = pieces.select("source", "block", "bucket", "place", (F.least("end", (F.col("block") + 1) * block) - F.greatest("before", F.col("block") * block)).alias("words"))
+    pieces = rows.filter("size > 0").select("source", "uid", "before", end.alias("end"), F.explode(F.sequence(first, last)).alias("block"))
+    pieces = pieces.select("source", "block", "uid", (F.least("end", (F.col("block") + 1) * block) - F.greatest("before", F.col("block") * block)).alias("words"))
     return rows, pieces, slots
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken (and hash).
+def mix(docs: DataFrame, n_shards: int = 8, **options) -> DataFrame:
+    """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, taken_by_shard (and hash).
 
-    size: words of the text, null none. target: the source's. taken: words of the row in the blocks that the slots take, with
-    repeats. A null source is one of its own, the last. Rows without words take none; repeated rows are rows of their own.
-    Options are those of mixed(). Other columns are ignored. An empty table gives no rows.
+    size: words of the text, null none. target: the source's. taken: words of the row in the blocks that the shards' slots
+    take, with repeats; taken_by_shard: those of each output shard, comma-joined. A null source is one of its own, the last. Rows without
+    words take none; repeated rows are rows of their own. Ties of hash and id are the same text and may stand in any order.
+    A text of any length lies in as many blocks as it needs. Options are those of mixed(). Other columns are ignored. An empty
+    table gives no rows.
     """
-    rows, pieces, slots = mixed(docs, **options)
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["source", "block"]).groupBy("source", "bucket", "place").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(taken, ["source", "bucket", "place"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "hash")
+    rows, pieces, slots = mixed(docs, n_shards=n_shards, **options)
+    each = [f"_in_{k}" for k in range(n_shards)]
+    times = slots.groupBy("source", "block").agg(*(F.sum(F.when(F.col("shard") == k, 1).otherwise(0)).alias(c) for k, c in enumerate(each)))
+    # the lists that slots come from look small to the planner, so it would broadcast the slots
+    words = pieces.join(times.hint("merge"), ["source", "block"]).groupBy("uid").agg(*(F.sum(F.col("words") * F.col(c)).alias(c) for c in each))
+    by_shard = [F.coalesce(F.col(c), F.lit(0)).cast("long") for c in each]
+    return rows.join(words, "uid", "left").select("doc_id", "size", "source_size", "target", reduce(Column.__add__, by_shard).alias("taken"), F.concat_ws(",", *(c.cast("string") for c in by_shard)).alias("taken_by_shard"), "hash")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

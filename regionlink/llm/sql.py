@@ -11,12 +11,13 @@ def _hash(seed: int) -> str:
     return f"md5('{seed}|' || coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(md5(text), '~'))"
 
 
-def mixing_sql(block: int = 64, seed: int = 4) -> str:
+def mixing_sql(block: int = 64, seed: int = 4, n_shards: int = 8) -> str:
+    by_shard = ", ".join(f"coalesce(sum(times * words) FILTER (shard = {k}), 0)::BIGINT" for k in range(n_shards))
     rounds = []
     for r in range(_ROUNDS):
         a, b, k = (pow(g, r + 2, _PRIME) for g in (48_271, 69_621, 16_807))
         rounds.append(
-            f"r{r + 1} AS (SELECT source, n, tweak, CASE WHEN ((({a} * ((greatest(x, o) + key) % {_PRIME}) + {b}) % {_PRIME}) >> 12) % 2 = 1 THEN o ELSE x END AS x "
+            f"r{r + 1} AS (SELECT source, n, shard, tweak, CASE WHEN ((({a} * ((greatest(x, o) + key) % {_PRIME}) + {b}) % {_PRIME}) >> 12) % 2 = 1 THEN o ELSE x END AS x "
             f"FROM (SELECT *, ((key - x) % n + n) % n AS o FROM (SELECT *, ({k} * ((tweak + 1) % {_PRIME})) % {_PRIME} AS key FROM r{r})))"
         )
     return rf"""
@@ -30,12 +31,17 @@ l AS (SELECT *, cap / w AS ratio, (total - coalesce(sum(cap) OVER b, 0)) / (sum(
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source LIMIT 1), 'inf'::DOUBLE) * w) AS target FROM l),
 k AS (SELECT source, n, CASE WHEN target >= source_size * 2 THEN 2 * n ELSE least(round(target / {block})::BIGINT, 2 * n) END AS slots
       FROM (SELECT *, ceil(source_size / {block})::BIGINT AS n FROM t WHERE source_size > 0)),
-r0 AS (SELECT source, n, (slot // n) * 7919 + {seed} AS tweak, slot % n AS x FROM (SELECT source, n, unnest(range(slots)) AS slot FROM k)),
+drawn AS (SELECT source, n, ('0x' || substr(md5('{seed}|' || source || '|' || draw), 1, 8))::BIGINT % {n_shards} AS shard, count(*) AS count
+          FROM (SELECT source, n, unnest(range(slots)) AS draw FROM k) GROUP BY ALL),
+numbered AS (SELECT *, coalesce(sum(count) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM drawn),
+r0 AS (SELECT source, n, shard, (slot // n) * 7919 + {seed} AS tweak, slot % n AS x FROM (SELECT source, n, shard, first + unnest(range(count)) AS slot FROM numbered)),
 {", ".join(rounds)},
-hits AS (SELECT source, x AS block, count(*) AS times FROM r{_ROUNDS} GROUP BY ALL),
+hits AS (SELECT source, shard, x AS block, count(*) AS times FROM r{_ROUNDS} GROUP BY ALL),
 p AS (SELECT source, place, before, size, unnest(range(before // {block}, (before + size - 1) // {block} + 1)) AS block FROM o WHERE size > 0),
-taken AS (SELECT source, place, sum(times * (least(before + size, (block + 1) * {block}) - greatest(before, block * {block}))) AS taken FROM p JOIN hits USING (source, block) GROUP BY ALL)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o JOIN t USING (source) LEFT JOIN taken USING (source, place)
+taken AS (SELECT source, place, sum(times * words) AS taken, concat_ws(',', {by_shard}) AS taken_by_shard
+          FROM (SELECT *, least(before + size, (block + 1) * {block}) - greatest(before, block * {block}) AS words FROM p) JOIN hits USING (source, block) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(taken_by_shard, '{",".join("0" * n_shards)}') AS taken_by_shard
+FROM o JOIN t USING (source) LEFT JOIN taken USING (source, place)
 """
 
 

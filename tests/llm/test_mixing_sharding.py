@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from regionlink.llm.sharding import shards
-from regionlink.llm.source_mixing import mix, mixed, permuted
+from regionlink.llm.ordering import numbered, placed, ranged
+from regionlink.llm.sharding import interleave, shards
+from regionlink.llm.source_mixing import drawn, mix, mixed, permuted
 
 from .conftest import ODD, rows
 
@@ -70,6 +71,70 @@ def test_slots_follow_the_counts(docs):
     assert {r.shard for r in slots.collect()} == set(range(8))
 
 
+def test_shards_draw_their_counts(spark):
+    goals = spark.createDataFrame([("0a", 5_000, 8_000), ("0b", 7, 14), ("1", 1, 0)], "source string, n_blocks long, slots long")
+    got = drawn(goals, 8, 4, 8_014).collect()
+    by = {s: sorted((r.shard, r["first"], r["count"]) for r in got if r.source == s) for s in ("0a", "0b", "1")}
+    assert [sum(c for _, _, c in by[s]) for s in by] == [8_000, 14, 0]
+    for counts in by.values():
+        upto = 0
+        for _, first, count in counts:
+            assert first == upto
+            upto += count
+    counts = [c for _, _, c in by["0a"]]
+    # 1,000 on average, standard deviation 30
+    assert all(860 < c < 1140 for c in counts) and len(set(counts)) > 4
+    assert sorted(map(tuple, drawn(goals, 8, 4, 8_014).collect())) == sorted(map(tuple, got))
+    assert sorted(map(tuple, drawn(goals, 8, 5, 8_014).collect())) != sorted(map(tuple, got))
+
+
+def test_many_sources_of_one_row_and_one_row_very_often(spark):
+    """Neither is one task: all sources of one row have one fraction, all copies of one row have one hash."""
+    one_each = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    often = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    for table in (one_each, often):
+        found = shards(table).collect()
+        assert sorted((r.shard, r.slot) for r in found) == [(k, i) for k in range(8) for i in range(500)]
+        rows, _ = interleave(table)
+        assert sorted(r.position for r in rows.collect()) == list(range(4000))
+        before = placed(numbered(table.select("doc_id", "source", F.lit("0" * 32).alias("hash")), "t rows"), F.lit(3), "t order")
+        got = defaultdict(list)
+        for r in before.collect():
+            got[r.source].append(r.before)
+        assert all(sorted(x) == [3 * i for i in range(len(x))] for x in got.values())
+    ranges = ranged(numbered(often.select("doc_id", "source"), "t rows"), ["source", "doc_id", "uid"], "t ranges")
+    assert max(r["count"] for r in ranges.groupBy("_range").count().collect()) < 2000
+    taken = mix(often).collect()
+    assert len(taken) == 4000 and abs(sum(r.taken for r in taken) - 18_000) < 130
+
+
+def test_words_taken_by_shard(docs):
+    _, pieces, slots = mixed(docs)
+    words = defaultdict(Counter)
+    for r in slots.collect():
+        words[r.source, r.block][r.shard] += 1
+    want = defaultdict(Counter)
+    for r in pieces.collect():
+        for shard, n in words[r.source, r.block].items():
+            want[r.uid][shard] += n * r.words
+    found = mix(docs).collect()
+    assert sorted(r.taken_by_shard for r in found if r.taken) == sorted(",".join(str(w[k]) for k in range(8)) for w in want.values())
+    assert all(r.taken == sum(map(int, r.taken_by_shard.split(","))) for r in found)
+
+
+def test_too_many_blocks_are_refused(spark):
+    rows = spark.createDataFrame([("a", "x y " * 200)], "source string, text string").withColumn("doc_id", F.lit(1))
+    assert mix(rows).count() == 1
+    import regionlink.llm.source_mixing as own
+
+    prime, own._PRIME = own._PRIME, 1
+    try:
+        with pytest.raises(Exception, match="too many blocks"):
+            mix(rows).collect()
+    finally:
+        own._PRIME = prime
+
+
 def check_shards(table, given):
     found = shards(table).collect()
     n = len(given)
