@@ -1,56 +1,81 @@
-"""Documents to training shards: quality rules, near duplicates, benchmark leaks, source weights, shards."""
+"""Documents to training shards: quality rules, near duplicates, benchmark leaks, source weights, shards.
+
+Stages take documents with any further columns, whatever their names: what a stage adds stands beside the whole row, not in it.
+Each treats null, empty and very long texts, ties, repeated rows and empty tables as its docstring says.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlink.llm import decontamination, jaccard_join, quality_rules, sharding, source_mixing
-from regionlink.llm.common import row_key
+from regionlink.llm.common import n_words, row_key, written
 from regionlink.llm.ordering import seeded_hash
 
 
+def _whole(docs: DataFrame) -> Column:
+    """All columns of a row as one."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose lines are content enough."""
+    """Rows whose lines are content enough.
+
+    Null and empty texts go. Rows with equal text fare alike, so there are no ties; repeated rows stay or go together. Texts of
+    any length are judged whole. An empty table stays empty.
+    """
     model = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep_content(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links join: the one with the smallest id (null last), of rows of one id the first by text.
+    """One row of each group that links join: the one with the smallest id (null last), of rows of one id the first by text digest.
 
-    Rows without words link with nothing and stay.
+    Of repeated rows (same id and text) one stays: the least by its columns as JSON. Rows without words, null texts included,
+    link with nothing and all stay. Texts of any length are compared whole. An empty table stays empty.
     """
-    rows = docs.withColumn("_key", row_key(F.col("text")))
-    sizes, found = jaccard_join.linked(rows.filter("text IS NOT NULL").select(F.col("_key").alias("key"), "text"))
-    groups = sizes.filter("n > 0").join(found.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias("_key"), F.coalesce("component", "key").alias("_group"))
-    # the smallest is found by an aggregation, so a group of any size is one row for each task
-    placed = rows.join(groups, "_key", "left").withColumn("_rank", F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("_key")))
-    first = placed.filter("_group IS NOT NULL").groupBy("_group").agg(F.min("_rank").alias("_first"))
-    kept = placed.join(first, "_group", "left").filter(F.col("_first").isNull() | (F.col("_rank") == F.col("_first")))
-    # equal rows of one id are left only where a row stands several times: one of them stays
-    order = Window.partitionBy("_group", "_key").orderBy("doc_id")
-    alone = kept.filter("_group IS NULL").select(docs.columns)
-    return kept.filter("_group IS NOT NULL").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(docs.columns).unionByName(alone)
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(_whole(docs), doc_id.alias("doc_id"), row_key(text).alias("key"), (n_words(text) > 0).alias("worded"), text.alias("text"))
+    _, found = jaccard_join.linked(rows.filter("worded").select("key", "text"))
+    # a row for each text, however many copies there are, then one for each group
+    texts = rows.filter("worded").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("rank"))
+    grouped = texts.join(found.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("component", "key")).agg(F.min(F.struct("rank", "key")).alias("first"))
+    first = grouped.select("first.key", "first.rank.none", "first.rank.id")
+    kept = rows.filter("worded").select("row", "key", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).join(first, ["key", "none", "id"])
+    one = kept.groupBy("key", "none", "id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return one.select("row.*").unionByName(rows.filter("NOT worded").select("row.*"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item is found."""
+    """Rows in which no benchmark item is found.
+
+    Null and empty texts stay. Rows with equal text fare alike, so there are no ties; repeated rows stay or go together. Texts
+    of any length are searched whole. An empty table stays empty.
+    """
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its words are taken, on average: taken / size is rounded up with the probability of its fraction, by the row's hash."""
-    taken = source_mixing.mix(docs)
-    keyed = docs.withColumn("_hash", seeded_hash(4, F.col("doc_id"), F.col("text")))
-    # rows of one hash have the same id and text; together they are taken as often as their mean says
-    share = taken.groupBy(F.col("hash").alias("_hash")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
-    chance = F.conv(F.substring("_hash", 20, 8), 16, 10).cast("double") / float(16**8)
-    times = F.floor(F.col("_share") + chance).cast("int")
-    return keyed.join(share, "_hash").withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    """Each row as often as its words are taken, on average: taken / size is rounded up with the probability of its fraction, by the row's hash.
+
+    Rows without words, null texts included, are taken no words of and go. Rows with the same id and text are taken together
+    as often as their mean says. Texts of any length count whole. An empty table stays empty.
+    """
+    taken = source_mixing.mix(docs).filter("size > 0")
+    share = taken.groupBy("hash").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    chance = F.conv(F.substring("hash", 20, 8), 16, 10).cast("double") / float(16**8)
+    times = F.floor(F.col("share") + chance).cast("int")
+    rows = docs.select(_whole(docs), seeded_hash(4, F.col("doc_id"), F.col("text")).alias("hash"))
+    return rows.join(share.hint("merge"), "hash").withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row.
+
+    Null and empty texts are rows like others. Ties of fractions go by source, then hash; repeated rows are dealt each by
+    itself, in any order. An empty table gives no rows.
+    """
     return sharding.shards(docs)
 
 
@@ -68,8 +93,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents. Each one's rows are written to the shared folder and read again as the next one's."""
-    from regionlink.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
