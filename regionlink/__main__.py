@@ -1,3 +1,11 @@
-from .plans.cli import main
+import sys
 
-raise SystemExit(main())
+from regionlink.plans.cli import main
+
+
+def run() -> None:
+    sys.exit(main())
+
+
+if __name__ == "__main__":
+    run()

@@ -20,24 +20,46 @@ def to_number(cell: Column, default: float | None = 0.0) -> Column:
     return F.coalesce(F.when(negated, -number).otherwise(number), F.lit(default).cast("double"))
 
 
+def fixed(value: Column, pattern: Column | str) -> Column:
+    """A number by a decimal pattern, without separators of thousands. The exact value is rounded; a tie goes to the even digit."""
+    return F.replace(F.call_function("format_number", value, F.lit(pattern) if isinstance(pattern, str) else pattern), F.lit(","))
+
+
+def one_decimal(value: Column) -> Column:
+    return fixed(value, "0.0")
+
+
 def short_number(value: Column) -> Column:
-    """1.2M, 3.4k, 56 or 7.8. Ties of the last digit go away from zero; text in a map is made by Python's own rules."""
+    """1.2M, 3.4k, 56 or 7.8."""
     size = F.abs(value)
     return (
-        F.when(size >= 1_000_000, F.format_string("%.1fM", value / 1_000_000))
-        .when(size >= 1_000, F.format_string("%.1fk", value / 1_000))
+        F.when(size >= 1_000_000, F.concat(one_decimal(value / 1_000_000), F.lit("M")))
+        .when(size >= 1_000, F.concat(one_decimal(value / 1_000), F.lit("k")))
         .when(value == F.floor(value), F.floor(value).cast("string"))
-        .otherwise(F.format_string("%.1f", value))
+        .otherwise(one_decimal(value))
     )
 
 
-def short_text(value: float) -> str:
-    size = abs(value)
-    if size >= 1e6:
-        return f"{value / 1e6:.1f}M"
-    if size >= 1e3:
-        return f"{value / 1e3:.1f}k"
-    return str(int(value)) if float(value).is_integer() else f"{value:.1f}"
+def general(value: Column) -> Column:
+    """A number in 6 significant digits without trailing zeros, with an exponent from 1e6 up and below 1e-4."""
+    # the exponent is that of the rounded number
+    rounded = fixed(value, "0.00000E00")
+    exponent = F.substring_index(rounded, "E", -1).cast("int")
+    digits = fixed(value, F.concat(F.lit("0."), F.repeat(F.lit("#"), F.greatest(5 - exponent, F.lit(0)))))
+    # a formatter rounds ties up where there is an exponent; up to 1e15, whole numbers tell them
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - 5).cast("decimal(11,0)")
+    exact = F.abs(value).cast("decimal(26,10)")
+    parts = F.struct(exact.alias("x"), unit.alias("u"), F.call_function("div", exact, unit).cast("decimal(7,0)").alias("q"))
+    beyond = lambda t: 2 * (t["x"] - t["q"] * t["u"])
+    near = F.transform(F.array(parts), lambda t: t["q"].cast("int") + F.when((beyond(t) > t["u"]) | ((beyond(t) == t["u"]) & (t["q"] % 2 == 1)), 1).otherwise(0))
+    digits_of = F.element_at(near, 1).cast("string")
+    whole = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.regexp_replace(F.concat(F.substring(digits_of, 1, 1), F.lit("."), F.substring(digits_of, 2, 5)), r"\.?0*$", ""))
+    mantissa = F.when((exponent >= 6) & (exponent < 15), whole).otherwise(F.substring_index(fixed(value, "0.#####E0"), "E", 1))
+    size = F.abs(exponent).cast("string")
+    signed = F.concat(F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+    scientific = F.concat(mantissa, F.lit("e"), signed)
+    plain = F.when((exponent >= -4) & (exponent < 6), F.regexp_replace(digits, r"\.$", "")).otherwise(scientific)
+    return F.when(F.isnan(value), F.lit("nan")).when(F.abs(value) == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(plain)
 
 
 def xml_escape(text: Column) -> Column:
@@ -46,12 +68,6 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
-def xml_text(text: str) -> str:
-    for raw, safe in _XML:
-        text = text.replace(raw, safe)
-    return text
-
-
 _XML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
 

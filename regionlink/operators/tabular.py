@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import to_number
+from ..functions.values import general, to_number
 from ..sources.tables import POS
 
 
@@ -16,8 +19,22 @@ def require(table: DataFrame, *columns: str) -> None:
         raise KeyError(f"missing column(s): {', '.join(missing)}. Available: {', '.join(present)}")
 
 
-def filter_rows(table: DataFrame, predicate: Column | str) -> DataFrame:
-    return table.filter(predicate)
+def filter_rows(table: DataFrame, predicate: Column | str | Callable[[dict], bool]) -> DataFrame:
+    """Rows for which a column or SQL text holds. A Python callable gets each row as a dictionary, in Python workers: slow, for what SQL can't say."""
+    if isinstance(predicate, Column | str):
+        return table.filter(predicate)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(predicate({k: v for k, v in row.items() if k != POS})) for row in b.to_pylist()], pa.bool_()))
+
+    return table.mapInArrow(kept, table.schema)
+
+
+def ordered(table: DataFrame) -> Iterator[dict]:
+    """The rows as dictionaries, in their order, one part of the table at the driver at a time."""
+    for row in table.orderBy(POS).toLocalIterator():
+        yield {k: v for k, v in row.asDict().items() if k != POS}
 
 
 def distinct_values(table: DataFrame, column: str) -> DataFrame:
@@ -32,10 +49,10 @@ def group_sum(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.groupBy(F.col(f"`{key}`").alias(key)).agg(F.sum(to_number(F.col(f"`{value}`"))).alias("total"), F.min(POS).alias(POS))
 
 
-def pivot_sum(table: DataFrame, row_key: str, column_key: str, value: str, as_text: bool = False) -> DataFrame:
+def pivot_sum(table: DataFrame, row_key: str, column_key: str, value: str, as_text: bool = True) -> DataFrame:
     """Long to wide: a column for each category, in order, and a row for each key, sorted; sums, 0 where there is nothing.
 
-    as_text: cells of 6 significant digits, as a spreadsheet would show them. Categories are matched with their case; one that
+    as_text: cells of 6 significant digits, as a spreadsheet would show them; else numbers. Categories are matched with their case; one that
     equals row_key raises ValueError. The driver gets the distinct categories, which become columns.
     """
     require(table, row_key, column_key, value)
@@ -47,13 +64,3 @@ def pivot_sum(table: DataFrame, row_key: str, column_key: str, value: str, as_te
     sums = table.groupBy("k").agg(*(F.coalesce(F.sum(F.when(F.col("c") == x, F.col("v"))), F.lit(0.0)).alias(f"_{i}") for i, x in enumerate(categories)))
     cell = (lambda c: general(F.col(c))) if as_text else F.col
     return sums.orderBy("k").select(F.col("k").alias(row_key), *(cell(f"_{i}").alias(x) for i, x in enumerate(categories)))
-
-
-def general(value: Column) -> Column:
-    """A number in 6 significant digits without trailing zeros, with an exponent from 1e6 up and below 1e-4."""
-
-    @F.pandas_udf("string")
-    def text(v):  # noqa: ANN001, ANN202
-        return v.map(lambda x: f"{x:g}")
-
-    return text(value)

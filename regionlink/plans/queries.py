@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import edit_distance, normalise_key, similarity
-from ..functions.values import class_of, short_number, to_number, xml_escape
+from ..functions.values import class_of, general, short_number, to_number, xml_escape
 from ..operators.classify import coloured, equal_breaks, quantile_breaks
-from ..operators.geometry import Projection, collection_box, feature_boxes
+from ..operators.geometry import CORNERS, box, feature_boxes, on_plane, path, plane
 from ..operators.matching import match_names
 from ..operators.reconcile import Report, reconcile
 from ..operators.tabular import distinct_values, filter_rows, group_sum, pivot_sum
@@ -196,23 +196,30 @@ def group_sum_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_sum(_customers(spark, sf_dir), "segment", "balance").select("segment", F.round("total", 2).alias("total"))
 
 
-@query("SELECT r_name AS region, round(coalesce(sum(c_acctbal) FILTER (c_mktsegment = 'AUTOMOBILE'), 0), 2) AS \"AUTOMOBILE\", round(coalesce(sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 0), 2) AS \"BUILDING\" FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING') GROUP BY 1")
-def pivot_sum_segment_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pivoted(spark, sf_dir, _read(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")))
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query(None)  # the SQL above has two segments only
-def pivot_sum_all_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pivoted(spark, sf_dir, _read(spark, sf_dir, "customer"))
+def _wide(cell: str) -> str:
+    cells = ", ".join(cell.format(f"coalesce(sum(c_acctbal) FILTER (c_mktsegment = '{x}'), 0)") + f' AS "{x}"' for x in _SEGMENTS)
+    return f"SELECT r_name AS region, {cells} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
 
 
-def _pivoted(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
+def _by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
-    rows = customers.join(F.broadcast(places), "c_nationkey")
-    wide = pivot_sum(rows.select("region", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("string").alias("balance")), "region", "segment", "balance")
+    return _read(spark, sf_dir, "customer").join(F.broadcast(places), "c_nationkey").select("region", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("string").alias("balance"))
+
+
+@query(_wide("round({}, 2)"))
+def pivot_sum_segment_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = pivot_sum(_by_segment(spark, sf_dir), "region", "segment", "balance", as_text=False)
     return wide.select("region", *(F.round(c, 2).alias(c) for c in wide.columns[1:]))
 
 
+@query(_wide("printf('%g', round({}, 2))"))
+def pivot_sum_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_sum(_by_segment(spark, sf_dir), "region", "segment", "balance")
+
+
 @query("SELECT p_brand, min(p_partkey)::BIGINT AS first FROM part GROUP BY 1")
 def distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_values(_read(spark, sf_dir, "part").withColumn(POS, F.col("p_partkey")), "p_brand").withColumnRenamed(POS, "first")
@@ -279,10 +286,9 @@ def feature_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_boxes(_squares(spark, sf_dir)).select("name", "min_lon", "min_lat", "max_lon", "max_lat")
 
 
-@query("SELECT min(70 + n_nationkey % 5)::DOUBLE AS min_lon, min(10 + n_nationkey // 5)::DOUBLE AS min_lat, max(71 + n_nationkey % 5)::DOUBLE AS max_lon, max(11 + n_nationkey // 5)::DOUBLE AS max_lat FROM nation")
+@query("SELECT min(70 + n_nationkey % 5)::DOUBLE AS min_lon, min(10 + n_nationkey // 5)::DOUBLE AS min_lat, max(71 + n_nationkey % 5)::DOUBLE AS max_lon, max(11 + n_nationkey // 5)::DOUBLE AS max_lat, 5.0::DOUBLE AS width, 5.0::DOUBLE AS height, 12.5::DOUBLE AS centre_lat FROM nation")
 def collection_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = feature_boxes(_squares(spark, sf_dir))
-    return boxes.agg(F.min("min_lon").alias("min_lon"), F.min("min_lat").alias("min_lat"), F.max("max_lon").alias("max_lon"), F.max("max_lat").alias("max_lat"))
+    return box(_squares(spark, sf_dir)).select(*CORNERS, "width", "height", "centre_lat")
 
 
 _PLANE = "WITH b AS (SELECT 70.0::DOUBLE AS lon, 15.0::DOUBLE AS lat, cos(radians(12.5)) AS f), p AS (SELECT lon, lat, f, least(860 / (5 * f), 860 / 5.0) AS s FROM b)"
@@ -291,30 +297,42 @@ _PLANE = "WITH b AS (SELECT 70.0::DOUBLE AS lon, 15.0::DOUBLE AS lat, cos(radian
 @query(_PLANE + " SELECT n_name AS name, round((70 + n_nationkey % 5 - lon) * f * s + 20, 6) AS x, round((lat - (10 + n_nationkey // 5)) * s + 20, 6) AS y FROM nation, p")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     squares = _squares(spark, sf_dir)
-    plane = Projection.fit(collection_box(squares))
     first = F.get(F.get("rings", F.lit(0)), F.lit(0))
-    return squares.select("name", F.round(plane.x(first["lon"]), 6).alias("x"), F.round(plane.y(first["lat"]), 6).alias("y"))
+    x, y = on_plane(plane(squares), first["lon"], first["lat"])
+    return squares.select("name", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
 
+_SPOT = "printf('%.1f', (70 + n_nationkey % 5 + {dx} - lon) * f * s + 20) || ',' || printf('%.1f', (lat - (10 + n_nationkey // 5 + {dy})) * s + 20)"
+_PATH = " || ' L' || ".join(_SPOT.format(dx=dx, dy=dy) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))
 
-@query(_PLANE + " SELECT n_name AS name, 5::INTEGER AS points, round((71 + n_nationkey % 5 - lon) * f * s + 20, 6) AS right_x, round((lat - (11 + n_nationkey // 5)) * s + 20, 6) AS top_y FROM nation, p")
+
+@query(f"{_PLANE} SELECT n_name AS name, 'M' || {_PATH} || ' Z' AS path FROM nation, p")
 def ring_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     squares = _squares(spark, sf_dir)
-    ring = F.get(Projection.fit(collection_box(squares)).projected(F.col("rings")), F.lit(0))
-    return squares.select("name", F.size(ring).alias("points"), F.round(F.array_max(F.transform(ring, lambda p: p["x"])), 6).alias("right_x"), F.round(F.array_min(F.transform(ring, lambda p: p["y"])), 6).alias("top_y"))
+    return squares.select("name", path(plane(squares), F.col("rings")).alias("path"))
+
+
+@query(_PLANE + " SELECT f AS lon_scale, s AS scale, 20::INTEGER AS padding, round(5 * f * s + 40)::INTEGER AS across, round(5 * s + 40)::INTEGER AS down FROM p")
+def projection_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = plane(_squares(spark, sf_dir))
+    return spark.createDataFrame([(p.lon_scale, p.scale, p.padding, p.across, p.down)], "lon_scale double, scale double, padding int, across int, down int")
 
 
 # ---- text
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN printf('%.1fM', o_totalprice / 1000000) WHEN o_totalprice >= 1000 THEN printf('%.1fk', round(o_totalprice / 1000, 1)) ELSE printf('%.1f', round(o_totalprice, 1)) END AS label FROM orders WHERE floor(o_totalprice) <> o_totalprice AND round(o_totalprice * 100) % 10 <> 5 AND round(o_totalprice) % 100 <> 50")
-def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = "floor(o_totalprice) <> o_totalprice AND round(o_totalprice * 100) % 10 <> 5 AND round(o_totalprice) % 100 <> 50"
-    return _read(spark, sf_dir, "orders").filter(odd).select("o_orderkey", short_number(F.col("o_totalprice")).alias("label"))
+_SHORT = "CASE WHEN abs({v}) >= 1000000 THEN printf('%.1fM', {v} / 1000000) WHEN abs({v}) >= 1000 THEN printf('%.1fk', {v} / 1000) WHEN {v} = floor({v}) THEN {v}::BIGINT::VARCHAR ELSE printf('%.1f', {v}) END"
 
 
-@query(None)  # DuckDB rounds ties in another way, and the SQL above leaves them and whole amounts out
-def format_value_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT o_orderkey, {_SHORT.format(v='o_totalprice')} AS label FROM orders")
+def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", short_number(F.col("o_totalprice")).alias("label"))
 
 
+@query("SELECT o_orderkey, printf('%g', o_totalprice) AS total, printf('%g', o_totalprice * 1000) AS large, printf('%g', o_totalprice / 1e9) AS small FROM orders")
+def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", general(price).alias("total"), general(price * 1000).alias("large"), general(price / 1e9).alias("small"))
+
+
 @query("SELECT n_name AS name, '&lt;' || n_name || ' &amp; &quot;co&quot;&gt;' AS safe FROM nation")
 def xml_escape_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).select("name", xml_escape(F.concat(F.lit("<"), "name", F.lit(' & "co">'))).alias("safe"))

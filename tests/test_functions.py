@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regionlink.functions.names import NOISE, edit_distance, normalise_key, similarity
-from regionlink.functions.values import class_of, short_number, short_text, to_number, xml_escape
+from regionlink.functions.values import class_of, general, one_decimal, short_number, to_number, xml_escape
 
 
 def column(spark, values, f, kind="string"):
@@ -57,7 +57,7 @@ def test_to_number(spark):
 
 
 def test_text(spark):
-    assert [short_text(v) for v in (1_500_000, 1500, 12, 3.25, -2000, 999_999)] == ["1.5M", "1.5k", "12", "3.2", "-2.0k", "1000.0k"]
+    assert column(spark, [1_500_000.0, 1500.0, 12.0, 3.25, -2000.0, 999_999.0], short_number, "double") == ["1.5M", "1.5k", "12", "3.2", "-2.0k", "1000.0k"]
     assert column(spark, [1_500_000.0, 1500.0, 12.0, 3.3, -2000.0], short_number, "double") == ["1.5M", "1.5k", "12", "3.3", "-2.0k"]
     assert column(spark, ['<a & "b">'], xml_escape) == ["&lt;a &amp; &quot;b&quot;&gt;"]
 
@@ -65,3 +65,26 @@ def test_text(spark):
 @pytest.mark.parametrize(("value", "want"), [(1.0, 0), (5.0, 0), (5.1, 1), (9.0, 1), (99.0, 1), (float("nan"), 1), (None, None)])
 def test_class_of(spark, value, want):
     assert column(spark, [value], lambda c: class_of(c, F.array(F.lit(5.0), F.lit(9.0))), "double") == [want]
+
+
+NUMBERS = [10177050.0, 10177150.0, -10177050.0, 10177049.999999998, 99999950.0, 9999995.0, 1234565e7, 0.0, -0.0, 1.0, 0.25, 0.35, 0.45, 2.675, 7.25, 7.35, -7.25, 0.05, 999.95, 1050.0, 1234567.0, 999999.5, 999999.4, 123456.5, 100000.0, 1e6, 1e15, 1e-4, 0.00012345678, 9.9999995e-5, 1e-7, -1.5e300, 3.14159265, float("nan"), float("inf"), float("-inf")]
+
+
+def test_numbers_as_text(spark):
+    """As Python writes them: the exact value is rounded, and a tie goes to the even digit."""
+    import random
+
+    rng = random.Random(9)
+    values = NUMBERS + [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 12) for _ in range(300)] + [round(rng.uniform(-2000, 2000), 2) for _ in range(300)] + [rng.randrange(-4000, 4000) / 8 for _ in range(200)] + [float(rng.randrange(10**6) * 10 + 5) * 10 ** rng.randrange(7) for _ in range(300)]
+    assert column(spark, values, general, "double") == [f"{v:g}" for v in values]
+    finite = [v for v in values if abs(v) < 1e14]
+    assert column(spark, finite, one_decimal, "double") == [f"{v:.1f}" for v in finite]
+
+    def short(v):
+        if abs(v) >= 1e6:
+            return f"{v / 1e6:.1f}M"
+        if abs(v) >= 1e3:
+            return f"{v / 1e3:.1f}k"
+        return str(int(v)) if v == int(v) else f"{v:.1f}"
+
+    assert column(spark, finite, short_number, "double") == [short(v) for v in finite]

@@ -5,14 +5,15 @@ import random
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from regionlink.functions.names import normalise_key
 from regionlink.operators.classify import breaks_by, coloured, equal_breaks, quantile_breaks
-from regionlink.operators.geometry import Box, Projection, collection_box, path_text
+from regionlink.operators.geometry import CORNERS, collection_box, path, plane
 from regionlink.operators.matching import match_names
 from regionlink.operators.reconcile import reconcile
-from regionlink.operators.tabular import distinct_values, filter_rows, group_sum, pivot_sum, require
+from regionlink.operators.tabular import distinct_values, filter_rows, group_sum, ordered, pivot_sum, require
 from regionlink.plans import cli
 from regionlink.plans.choropleth import render
 from regionlink.sources.boundaries import alias_table, read_aliases, read_geojson
@@ -67,12 +68,14 @@ def test_table_operators(spark, tmp_path):
     assert [r.k for r in distinct_values(table, "k").orderBy(POS).collect()] == ["b", "a", "z"]
     assert [(r.k, r.total) for r in group_sum(table, "k", "v").orderBy(POS).collect()] == [("b", 998.0), ("a", 1234567.0), ("z", 0.0)]
     assert filter_rows(table, F.col("k") == "b").count() == 2
+    assert [r["v"] for r in ordered(filter_rows(table, lambda row: row["k"] == "b" and "," not in row["v"]))] == ["(2)"]
+    assert next(ordered(table)) == {"k": "b", "c": "Rice", "v": "1,000"}
     some = filter_rows(table, "c <> ''")
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        wide = pivot_sum(some, "k", "c", "v")
+        wide = pivot_sum(some, "k", "c", "v", as_text=False)
         assert (wide.columns, [tuple(r) for r in wide.collect()]) == (["k", "Rice", "rice"], [("a", 1234567.0, 0.0), ("b", 1000.0, -2.0)])
-        assert [tuple(r) for r in pivot_sum(some, "k", "c", "v", as_text=True).collect()] == [("a", "1.23457e+06", "0"), ("b", "1000", "-2")]
+        assert [tuple(r) for r in pivot_sum(some, "k", "c", "v").collect()] == [("a", "1.23457e+06", "0"), ("b", "1000", "-2")]
     finally:
         spark.conf.unset("spark.sql.caseSensitive")
     with pytest.raises(KeyError, match=r"missing column\(s\): K. Available: k, c, v"):
@@ -87,7 +90,9 @@ def test_table_operators(spark, tmp_path):
 def test_geojson(spark, tmp_path, shapes):
     regions = read_geojson(spark, shapes, "area")
     assert [r.name for r in regions.orderBy(POS).collect()] == ["North", "South", "East"]
-    assert collection_box(regions) == Box(5.0, 10.0, 8.0, 11.0)
+    found = collection_box(regions)
+    assert [found[c] for c in CORNERS] == [5.0, 10.0, 8.0, 11.0]
+    assert (found.width, found.height, found.centre_lat) == (3.0, 1.0, 10.5)
     parts = {"type": "MultiPolygon", "coordinates": [[square(0), [[0.2, 10.2, 99], [0.4, 10.2, 99], [0.4, 10.4, 99]]], [square(3)]]}
     path = csv_file(tmp_path, json.dumps({"type": "FeatureCollection", "features": [{"properties": {"area": None, "n": 1.0, "b": True}, "geometry": parts}]}), "multi.json")
     row = read_geojson(spark, path, "area").first()
@@ -234,12 +239,28 @@ def test_more_classes_than_colours(spark):
 
 
 # ---- maps
+def ringed(spark, *rings):
+    return spark.createDataFrame([(0, "x", [[(float(x), float(y)) for x, y in ring] for ring in rings])], f"{POS} long, name string, rings array<array<struct<lon:double,lat:double>>>")
+
+
 def test_projection(spark, shapes):
-    plane = Projection.fit(collection_box(read_geojson(spark, shapes, "area")), padding=24)
-    assert (plane.width, plane.padding) == (900, 24)
+    # three squares of side 1 at latitude 10
+    p = plane(read_geojson(spark, shapes, "area"), padding=24)
+    assert (p.across, p.down, p.padding) == (900, 337, 24)
+    assert abs(p.lon_scale - 0.9832549075639546) < 1e-12 and abs(p.scale - 288.8365954903994) < 1e-9
     with pytest.raises(ValueError, match="zero extent"):
-        Projection.fit(Box(1, 1, 1, 2))
-    assert path_text([[{"x": 1.26, "y": 2.0}, {"x": 3.0, "y": 4.0}, {"x": 5.0, "y": 6.0}]]) == "M1.3,2.0 L3.0,4.0 L5.0,6.0 Z"
+        plane(ringed(spark, [(1, 1), (1, 2)]))
+    with pytest.raises(ValueError, match="empty collection"):
+        plane(ringed(spark).limit(0))
+    with pytest.raises(ValueError, match="without points"):
+        collection_box(ringed(spark))
+
+
+def test_path(spark):
+    flat = Row(min_lon=0.0, lon_scale=1.0, scale=1.0, padding=0, max_lat=0.0)
+    rings = ringed(spark, [(1.26, -2), (3, -4), (0.25, -0.35)], [(1, 1), (2, 2)], [(0, 0), (0.75, 0), (0, 1234.56)])
+    # of a tie the even digit, by the exact value; rings of two points are left out
+    assert rings.select(path(flat, F.col("rings"))).first()[0] == "M1.3,2.0 L3.0,4.0 L0.2,0.3 Z M0.0,0.0 L0.8,0.0 L0.0,-1234.6 Z".replace("0.0,0.0", "0.0,0.0")
 
 
 def test_render(spark, tmp_path):
