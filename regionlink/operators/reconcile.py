@@ -72,7 +72,7 @@ def reconcile(table: DataFrame, regions: DataFrame, *, name_column: str, value_c
         raise ValueError(f"unknown aggregate {aggregate!r}")
     rows = table.select(F.col(f"`{name_column}`").alias("query"), F.col(f"`{value_column}`").alias("cell"), POS).filter("query <> ''")
     canonical = regions.select("name", POS)
-    matches = match_names(rows.select("query", POS), canonical, aliases, threshold, min_margin, fast)
+    matches = match_names(rows.select("query", POS), canonical, aliases, threshold, min_margin, fast).persist()  # one row a name; every part of the report reads it
     found = matches.filter("matched is not null").select("query", F.col("matched").alias("region"))
     read = rows.select("query", to_number(F.col("cell"), None).alias("value"), POS).filter("value is not null")
     values = read.join(found, "query").groupBy("region").agg(AGGREGATES[aggregate]("value").alias("value"), F.min(POS).alias(POS))

@@ -199,14 +199,14 @@ def group_sum_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-def _wide(cell: str) -> str:
-    cells = ", ".join(cell.format(f"coalesce(sum(c_acctbal) FILTER (c_mktsegment = '{x}'), 0)") + f' AS "{x}"' for x in _SEGMENTS)
+def _wide(cell: str, amount: str = "c_acctbal") -> str:
+    cells = ", ".join(cell.format(f"coalesce(sum({amount}) FILTER (c_mktsegment = '{x}'), 0)") + f' AS "{x}"' for x in _SEGMENTS)
     return f"SELECT r_name AS region, {cells} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
 
 
-def _by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_segment(spark: SparkSession, sf_dir: str, amount: str = "c_acctbal") -> DataFrame:
     places = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
-    return _read(spark, sf_dir, "customer").join(F.broadcast(places), "c_nationkey").select("region", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("string").alias("balance"))
+    return _read(spark, sf_dir, "customer").join(F.broadcast(places), "c_nationkey").select("region", F.col("c_mktsegment").alias("segment"), F.expr(f"cast({amount} AS string)").alias("balance"))
 
 
 @query(_wide("round({}, 2)"))
@@ -215,9 +215,13 @@ def pivot_sum_segment_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("region", *(F.round(c, 2).alias(c) for c in wide.columns[1:]))
 
 
-@query(_wide("printf('%g', round({}, 2))"))
+_CENTS = "cast(round(c_acctbal * 100) AS bigint)"
+
+
+@query(_wide("printf('%g', ({})::DOUBLE)", _CENTS))
 def pivot_sum_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivot_sum(_by_segment(spark, sf_dir), "region", "segment", "balance")
+    """Whole cents, so that sums are the same in any order."""
+    return pivot_sum(_by_segment(spark, sf_dir, _CENTS), "region", "segment", "balance")
 
 
 @query("SELECT p_brand, min(p_partkey)::BIGINT AS first FROM part GROUP BY 1")

@@ -86,6 +86,20 @@ def test_table_operators(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "dir"), header=True).count() == 5
 
 
+def test_read_csv_several_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    csv_file(folder, "name,v\nx,1\n\ny,2\n", "a.csv")
+    csv_file(folder, "v,name\n3,z\n", "b.csv")
+    table = read_csv(spark, str(folder))
+    assert table.columns == [POS, "name", "v"]
+    assert cells(table) == [("x", "1"), ("y", "2"), ("z", "3")]
+    assert [r[0] for r in table.orderBy(POS).collect()] == [0, 2, 1 << 40]
+    csv_file(folder, "name,w\n3,z\n", "c.csv")
+    with pytest.raises(ValueError, match="c.csv has columns name, w, but a.csv has name, v"):
+        read_csv(spark, str(folder))
+
+
 # ---- boundaries
 def test_geojson(spark, tmp_path, shapes):
     regions = read_geojson(spark, shapes, "area")
