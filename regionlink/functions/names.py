@@ -38,7 +38,8 @@ def normalise_key(name: Column) -> Column:
     """The key under which spellings of one name meet.
 
     Compatibility decomposition, no combining marks, lower case, apostrophes dropped, other punctuation a blank, single
-    blanks, no noise words, unless nothing else is left. Null stays null.
+    blanks, no noise words, unless nothing else is left. Null stays null. Names beyond ASCII are decomposed by ICU, a library
+    that Spark itself brings (com.ibm.icu, for its collations).
     """
     plain = F.when(name.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), name, F.lit(True)), _combining(), "")).otherwise(name)
     bare = F.regexp_replace(F.lower(plain), f"[{APOSTROPHES}]", "")

@@ -23,8 +23,8 @@ SEQUENTIAL = Palette("sequential", ("#eef3f8", "#cfe0ee", "#a7c7e0", "#6fa5cd",
 WARM = Palette("warm", ("#fdf1e4", "#fbdcbb", "#f5bd88", "#e89454", "#d16a2b", "#a44515"))
 PALETTES = {p.name: p for p in (SEQUENTIAL, WARM)}
 
-#: Parts into which the range of values is cut to find ranks.
-_PARTS = 1024
+#: Parts into which the values are cut to find ranks, about equally many in each.
+_PARTS = 256
 
 
 def _at_least_two(classes: int) -> None:
@@ -35,22 +35,23 @@ def _at_least_two(classes: int) -> None:
 def quantile_breaks(values: DataFrame, column: str, classes: int = 5) -> DataFrame:
     """One row (breaks): the values at the ranks that cut them in equal counts, and the largest, each once. Nulls don't count.
 
-    Equal values are counted first. Their ranks come from the sums of parts of the range and the sums inside the parts that
-    hold a wanted rank, so there is no global sort.
+    Equal values are counted first. Cuts from a sketch of them part the values about evenly, wherever they lie; sums of the
+    parts tell in which of them a wanted rank falls, and only those are ranked inside. There is no global sort.
     """
     _at_least_two(classes)
     counts = values.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("all"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _PARTS), F.lit(_PARTS - 1))).otherwise(0)
-    placed = counts.crossJoin(F.broadcast(ends)).withColumn("part", part)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("part").agg(F.sum("n").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    ends = counts.agg(F.array_distinct(F.percentile_approx("v", [i / _PARTS for i in range(1, _PARTS)], 10 * _PARTS)).alias("cuts"), F.sum("n").alias("all"))
+    part = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+    placed = counts.crossJoin(F.broadcast(ends)).select("v", "n", "all", part.alias("part"))
     wanted = F.transform(F.sequence(F.lit(1), F.lit(classes - 1)), lambda i: F.least(F.floor(i * F.col("all") / classes), F.col("all") - 1).cast("long"))
     wanted = F.array_append(wanted, F.col("all") - 1)
+    within = lambda lo, hi: F.exists(wanted, lambda r: (r >= F.col(lo)) & (r < F.col(hi)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("part", "all").agg(F.sum("n").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    holding = sums.withColumn("upto", F.col("offset") + F.col("m")).filter(within("offset", "upto")).select("part", "offset")
     inside = Window.partitionBy("part").orderBy("v")
-    ranked = placed.join(F.broadcast(sums), "part").withColumn("end", F.col("offset") + F.sum("n").over(inside)).withColumn("start", F.col("end") - F.col("n"))
-    hit = ranked.filter(F.exists(wanted, lambda r: (r >= F.col("start")) & (r < F.col("end"))))
-    return hit.agg(F.sort_array(F.collect_set("v")).alias("breaks"))
+    ranked = placed.join(F.broadcast(holding), "part").withColumn("end", F.col("offset") + F.sum("n").over(inside)).withColumn("start", F.col("end") - F.col("n"))
+    return ranked.filter(within("start", "end")).agg(F.sort_array(F.collect_set("v")).alias("breaks"))
 
 
 def equal_breaks(values: DataFrame, column: str, classes: int = 5) -> DataFrame:

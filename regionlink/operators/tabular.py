@@ -49,15 +49,18 @@ def group_sum(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.groupBy(F.col(f"`{key}`").alias(key)).agg(F.sum(to_number(F.col(f"`{value}`"))).alias("total"), F.min(POS).alias(POS))
 
 
-def pivot_sum(table: DataFrame, row_key: str, column_key: str, value: str, as_text: bool = True) -> DataFrame:
+def pivot_sum(table: DataFrame, row_key: str, column_key: str, value: str, as_text: bool = True, most: int = 10_000) -> DataFrame:
     """Long to wide: a column for each category, in order, and a row for each key, sorted; sums, 0 where there is nothing.
 
     as_text: cells of 6 significant digits, as a spreadsheet would show them; else numbers. Categories are matched with their case; one that
-    equals row_key raises ValueError. The driver gets the distinct categories, which become columns.
+    equals row_key raises ValueError. The driver gets the distinct categories, which become columns; more
+    than ``most`` raise ValueError.
     """
     require(table, row_key, column_key, value)
     table = table.select(F.col(f"`{row_key}`").alias("k"), F.col(f"`{column_key}`").alias("c"), to_number(F.col(f"`{value}`")).alias("v"))
-    categories = [r.c for r in table.select("c").distinct().orderBy("c").collect()]
+    categories = [r.c for r in table.select("c").distinct().orderBy("c").limit(most + 1).collect()]
+    if len(categories) > most:
+        raise ValueError(f"more than {most} categories: they would be as many columns")
     if row_key in categories:
         raise ValueError(f"category {row_key!r} has the name of the key column")
     # columns are named by place: categories that differ in case only would clash

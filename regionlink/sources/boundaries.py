@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import POS
 
+#: Features that are handed on together.
+_ROWS = 500
 _POINT = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
 _FIELDS = pa.schema([(POS, pa.int64()), ("name", pa.string()), ("rings", pa.list_(pa.list_(_POINT))), ("properties", pa.map_(pa.string(), pa.string())), ("fault", pa.string())])
 _SCHEMA = f"{POS} long, name string, rings array<array<struct<lon:double,lat:double>>>, properties map<string,string>, fault string"
@@ -50,15 +53,18 @@ def _features(raw: str, label: str) -> Iterator[dict]:
 def read_geojson(spark: SparkSession, path: str, name_property: str = "name") -> DataFrame:
     """(POS, name, rings, properties) of a FeatureCollection, in its order. What is wrong with it raises ValueError now.
 
-    name is the property as Python prints it. Other properties that aren't strings are JSON text.
+    name is the property as Python prints it. Other properties that aren't strings are JSON text. A document is parsed by one
+    task, once; its features are kept.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column("value").to_pylist():
-                yield pa.RecordBatch.from_pylist(list(_features(raw, name_property)), _FIELDS)
+                rows = _features(raw, name_property)
+                while some := list(islice(rows, _ROWS)):
+                    yield pa.RecordBatch.from_pylist(some, _FIELDS)
 
-    rows = spark.read.text(str(path), wholetext=True).mapInArrow(parse, _SCHEMA)
+    rows = spark.read.text(str(path), wholetext=True).mapInArrow(parse, _SCHEMA).persist()
     if bad := rows.filter("fault is not null").orderBy(POS).first():
         raise ValueError(bad.fault)
     return rows.drop("fault")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from regionlink.functions.names import normalise_key
 from regionlink.operators.classify import breaks_by, coloured, equal_breaks, quantile_breaks
 from regionlink.operators.geometry import CORNERS, collection_box, path, plane
-from regionlink.operators.matching import match_names
+from regionlink.operators.matching import canonical_size, match_names
 from regionlink.operators.reconcile import reconcile
 from regionlink.operators.tabular import distinct_values, filter_rows, group_sum, ordered, pivot_sum, require
 from regionlink.plans import cli
@@ -78,6 +78,8 @@ def test_table_operators(spark, tmp_path):
         assert [tuple(r) for r in pivot_sum(some, "k", "c", "v").collect()] == [("a", "1.23457e+06", "0"), ("b", "1000", "-2")]
     finally:
         spark.conf.unset("spark.sql.caseSensitive")
+    with pytest.raises(ValueError, match="more than 1 categories"):
+        pivot_sum(some, "k", "c", "v", most=1)
     with pytest.raises(KeyError, match=r"missing column\(s\): K. Available: k, c, v"):
         require(table, "K", "c")
     write_csv(table, str(tmp_path / "out" / "x.csv"))
@@ -224,6 +226,40 @@ def test_reconcile(spark, shapes):
         join("median")
 
 
+#: Names of twelve regions, and thirteen spellings that are to be matched to them.
+REGIONS = ["Northvale", "Eastmarch", "Westford", "Southbury", "Highmoor", "Lakeside", "Riverton", "Stonebridge", "Fairhaven", "Oakdale", "Millbrook", "Greyfell"]
+SPELT = ["NORTHVALE", "Eastmarch", "West-ford", "Southbury", "Highmoor", "Lakeside District", "Riverton", "Stonebrigde", "Fairhaven", "Oakdale", "Millbrook", "Grayfell", "Ashcombe"]
+
+
+def test_acceptance_values(spark, tmp_path, capsys):
+    """Scores, coverage, lists and exit code that are known for these names."""
+    got = matched(spark, SPELT, REGIONS)
+    assert got["NORTHVALE"] == ("Northvale", "exact", 1.0, 1.0)
+    assert got["Lakeside District"] == ("Lakeside", "exact", 1.0, 1.0)
+    assert got["West-ford"] == ("Westford", "fuzzy", 0.8889, 0.6667)
+    assert got["Grayfell"] == ("Greyfell", "fuzzy", 0.875, 0.625)
+    assert got["Stonebrigde"] == (None, "none", 0.8182, 0.4545)
+    assert got["Ashcombe"] == (None, "none", 0.2222, 0.0404)
+    aliases = {"Grayfell": "Greyfell", "Ashcombe": "Fairhaven"}
+    got = matched(spark, SPELT, REGIONS, aliases, threshold=0.8)
+    assert got["Stonebrigde"] == ("Stonebridge", "fuzzy", 0.8182, 0.4545)
+    assert got["Grayfell"] == ("Greyfell", "alias", 1.0, 1.0)
+    assert got["Ashcombe"] == ("Fairhaven", "alias", 1.0, 1.0)
+    cities = ["Bengaluru Urban", "Mysuru", "Belagavi", "Kalaburagi"]
+    got = matched(spark, ["BANGALURU URBAN", "Mysore"], cities)
+    assert got["BANGALURU URBAN"][:3] == ("Bengaluru Urban", "fuzzy", 0.9333)
+    assert got["Mysore"][:3] == (None, "none", 0.6667)
+    assert canonical_size(named(spark, ["Alpha", "Alpha District"])) == 2
+
+    data = csv_file(tmp_path, "district,hectares\n" + "".join(f"{n},{i}\n" for i, n in enumerate(SPELT)))
+    shapes = csv_file(tmp_path, json.dumps(collection(*((n, {"type": "Polygon", "coordinates": [square(float(i))]}) for i, n in enumerate(REGIONS)))), "regions.json")
+    assert cli.main(["check", data, shapes, "--name-column", "district", "--value-column", "hectares", "--name-property", "area"]) == 1
+    said = capsys.readouterr().err.split("\n")
+    assert said[:3] == ["matched      11 region(s)", "coverage     91.7%", "fuzzy        2 (review these)"]
+    assert [x.strip() for x in said[3:5]] == ["'West-ford' → 'Westford' (0.8889)", "'Grayfell' → 'Greyfell' (0.875)"]
+    assert [x.strip() for x in said[5:] if x] == ["unmatched    2 data row(s) dropped", "'Stonebrigde'", "'Ashcombe'", "no data      1 region(s)", "'Stonebridge'"]
+
+
 # ---- classes
 @pytest.mark.parametrize("classes", [2, 5, 7])
 def test_breaks(spark, classes):
@@ -242,6 +278,16 @@ def test_breaks(spark, classes):
         breaks_by("other", frame, "v", 2)
 
 
+def test_breaks_of_values_far_apart(spark):
+    """One value far from all others leaves no part of the range with nearly all of them."""
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(5000)] + [1e300, -1e300] + [0.5] * 4000
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    s = sorted(values)
+    for classes in (2, 9, 40):
+        assert quantile_breaks(frame, "v", classes).first().breaks == sorted({s[min(i * len(s) // classes, len(s) - 1)] for i in range(1, classes)} | {s[-1]})
+
+
 def test_more_classes_than_colours(spark):
     frame = spark.createDataFrame([(float(i),) for i in range(8)] + [(None,)], "value double")
     got = [(r["class"], r.fill) for r in coloured(frame, quantile_breaks(frame, "value", 8), "warm").orderBy("value").collect()]
