@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,7 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """From now on at most so many rows travel to Python at once: texts are far longer than Spark's default of 10,000 rows is made for."""
+    """At most so many rows travel to Python at once: texts are far longer than Spark's default of 10,000 rows is made for.
+
+    The setting is read when a plan runs, after the operator has returned, so it stays in the session; a smaller one is kept.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
@@ -43,17 +47,6 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts).cast("binary")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, on one machine, as in tests, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
-        path = tempfile.mkdtemp(prefix="regionlink-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder and read again: the lineage is cut, and a lost executor loses none of it.
 

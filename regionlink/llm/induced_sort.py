@@ -82,8 +82,10 @@ def _range_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 class InducedSort:
     """Suffix array and, for the first call, common-prefix values up to ``cap`` of a text of integers that ends with its only 0."""
 
-    def __init__(self, cap: int, memory_items: int, folder: str | None = None) -> None:
+    def __init__(self, cap: int, memory_items: int, folder: str | None = None, names: int | None = None) -> None:
+        """memory_items: of the queue and of each array; more go to files. names: strings of names up to so long are sorted in memory, longer ones by recursion."""
         self.cap, self.memory = cap, memory_items
+        self.names = memory_items if names is None else names
         self._own = tempfile.TemporaryDirectory(dir=folder)
         self.folder = Path(self._own.name)
         self.files = 0
@@ -133,7 +135,7 @@ class InducedSort:
         reduced = where[lms]
         if names[-1] + 1 == len(lms):
             return order
-        if len(reduced) <= self.memory:
+        if len(reduced) <= self.names:
             return lms[self._doubling(reduced)]
         deeper = np.append(reduced + 1, 0)
         deep_lms, deep_small = self._kinds(deeper)

@@ -176,7 +176,7 @@ def repeated_in(parts: list[tuple[bytes, bool]], length: int, memory_items: int)
     body = np.concatenate([np.append(np.frombuffer(raw, np.uint8).astype(np.int32) + 2, 1) for raw, _ in parts] + [np.zeros(1, np.int32)])
     sizes = np.array([len(raw) + 1 for raw, _ in parts])
     first = np.cumsum(sizes) - sizes
-    sorter = InducedSort(length, memory_items)
+    sorter = InducedSort(length, memory_items, names=4 * memory_items)
     try:
         order, lcp = sorter.sort(body)
         # suffixes too short for a window share fewer bytes with all others, and so does the last 0
@@ -197,11 +197,11 @@ def repeated_in(parts: list[tuple[bytes, bool]], length: int, memory_items: int)
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000, memory_items: int = 300_000, hot: int = 4000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000, memory_items: int = 80_000, hot: int = 4000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    length: of the strings. shard_bytes: of fragments that are sorted together, about. memory_items: more items of a sort go
-    to files. hot: distinct fragments of one anchor beyond which its windows are grouped by digest. Strings are judged on the
+    length: of the strings. shard_bytes: of fragments that are sorted together, about. memory_items: more items of a sort's
+    queue or arrays go to files; a string of names of four times as many is still sorted in memory, a longer one by recursion. hot: distinct fragments of one anchor beyond which its windows are grouped by digest. Strings are judged on the
     input: what is removed covers all their occurrences. Texts below ``length`` bytes lose nothing; a null text is empty.
     Texts found several times lose everything, repeated rows included. Null ids are kept, other columns ignored. An empty
     table gives no rows.

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from regionlink.llm import jaccard_join as J
+from regionlink.llm import graph
 from regionlink.llm.graph import components
 
 from .conftest import ODD, SCHEMA, rows
@@ -64,7 +65,9 @@ def test_similar_sets_share_a_signature(frequent, monkeypatch):
             assert len(np.intersect1d(of(a), of(b)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     near = defaultdict(set)

@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from regionlink.llm.induced_sort import InducedSort
-from regionlink.llm.suffix_dedup import suffix_dedup
+from regionlink.llm.induced_sort import BucketQueue, InducedSort
+from regionlink.llm.suffix_dedup import repeated_in, suffix_dedup
 
 from .conftest import ODD, SCHEMA, rows
 
@@ -61,3 +62,33 @@ def test_against_brute_force(spark, docs, hot, shard):
     if hot > 2:
         some = [(r.doc_id, r.text) for r in docs.collect()]
         assert rows(suffix_dedup(docs)) == brute(some)
+
+
+def test_a_shard_of_the_query_spills(monkeypatch):
+    """With the limits that the query has, a shard's queue and arrays go to files, and its result is that of a sort in memory."""
+    limits = inspect.signature(suffix_dedup).parameters
+    length, memory, shard = (limits[k].default for k in ("length", "memory_items", "shard_bytes"))
+    assert memory < shard
+    rng = random.Random(9)
+    passages = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.choice([150, 200, 260]))) for _ in range(40)]
+    parts, held = [], 0
+    while held < shard:
+        parts.append((b"".join(rng.choice([rng.choice(passages), bytes(rng.choice(b"abcdefgh ") for _ in range(300))]) for _ in range(3)), False))
+        held += len(parts[-1][0])
+    spilt = []
+    own = BucketQueue._spill
+    monkeypatch.setattr(BucketQueue, "_spill", lambda self, char: (spilt.append(char), own(self, char)))
+    got = repeated_in(parts, length, memory)
+    assert spilt
+    times = Counter(raw[i : i + length] for raw, _ in parts for i in range(len(raw) - length + 1))
+    want = []
+    for raw, _ in parts:
+        twice = [times[raw[i : i + length]] > 1 for i in range(len(raw) - length + 1)]
+        bounds = []
+        for i, x in enumerate(twice):
+            if x and (not i or not twice[i - 1]):
+                bounds.append(i)
+            if x and (i + 1 == len(twice) or not twice[i + 1]):
+                bounds.append(i)
+        want.append(bounds)
+    assert got == want
