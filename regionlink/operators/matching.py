@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalise_key, similarity
+from ..sources.scratch import kept
 from ..sources.tables import POS
 
 #: Up to so many canonical keys, and no more, travel to every task.
@@ -61,7 +62,7 @@ def match_names(names: DataFrame, canonical: DataFrame, aliases: DataFrame | Non
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    index = canonical_index(canonical).persist()  # used four times, and small beside the names
+    index = kept(canonical_index(canonical), "index")  # used four times, and small beside the names
     counted = index.agg(F.count("*").alias("size"))
     alias, bad = alias_index(aliases, index) if aliases is not None else (None, None)
     first = (counted.crossJoin(F.broadcast(bad)) if aliases is not None else counted).first()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import to_number
+from ..sources.scratch import kept
 from ..sources.tables import POS
 from .matching import match_names
 from .tabular import require
@@ -65,17 +66,17 @@ class Report:
 def reconcile(table: DataFrame, regions: DataFrame, *, name_column: str, value_column: str, aliases: DataFrame | None = None, threshold: float = 0.85, aggregate: str = "sum", min_margin: float = 0.05, fast: bool = False) -> Report:
     """Joins a table (with POS) to regions (name, POS) by name and rolls its values up.
 
-    Rows without a name are passed over; blank and unreadable values are absent, not 0. aggregate: sum, mean, max or min.
+    The work is done here, and the report reads two small tables. Rows without a name are passed over; blank and unreadable values are absent, not 0. aggregate: sum, mean, max or min.
     """
     require(table, name_column, value_column)
     if aggregate not in AGGREGATES:
         raise ValueError(f"unknown aggregate {aggregate!r}")
     rows = table.select(F.col(f"`{name_column}`").alias("query"), F.col(f"`{value_column}`").alias("cell"), POS).filter("query <> ''")
     canonical = regions.select("name", POS)
-    matches = match_names(rows.select("query", POS), canonical, aliases, threshold, min_margin, fast).persist()  # one row a name; every part of the report reads it
+    matches = kept(match_names(rows.select("query", POS), canonical, aliases, threshold, min_margin, fast), "matches")  # one row a name; every part of the report reads it
     found = matches.filter("matched is not null").select("query", F.col("matched").alias("region"))
     read = rows.select("query", to_number(F.col("cell"), None).alias("value"), POS).filter("value is not null")
-    values = read.join(found, "query").groupBy("region").agg(AGGREGATES[aggregate]("value").alias("value"), F.min(POS).alias(POS))
+    values = kept(read.join(found, "query").groupBy("region").agg(AGGREGATES[aggregate]("value").alias("value"), F.min(POS).alias(POS)), "values")  # one row a region; the table is read once
     unmatched = matches.filter("matched is null").select(F.col("query").alias("name"), POS)
     uncovered = canonical.join(values.select(F.col("region").alias("name")), "name", "left_anti")
     return Report(values, matches, unmatched, uncovered)

@@ -9,6 +9,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import kept
 from .tables import POS
 
 #: Features that are handed on together.
@@ -64,7 +65,7 @@ def read_geojson(spark: SparkSession, path: str, name_property: str = "name") ->
                 while some := list(islice(rows, _ROWS)):
                     yield pa.RecordBatch.from_pylist(some, _FIELDS)
 
-    rows = spark.read.text(str(path), wholetext=True).mapInArrow(parse, _SCHEMA).persist()
+    rows = kept(spark.read.text(str(path), wholetext=True).mapInArrow(parse, _SCHEMA), "features")
     if bad := rows.filter("fault is not null").orderBy(POS).first():
         raise ValueError(bad.fault)
     return rows.drop("fault")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: worked out once, whatever reads them, and safe from lost executors.
+
+    The table is removed when the process ends. A cache would be found again by the path of a file that has changed since.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already
+        pass
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a file through Spark's file systems."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import kept
+
 #: Order of the rows as they were read. Every table of this library has it.
 POS = "_pos"
 #: Rows that are handed on together.
@@ -78,7 +80,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield _batch(out)
 
-    rows = found.mapInArrow(cells, f"{POS} long, cells array<string>, fault string").persist()
+    rows = kept(found.mapInArrow(cells, f"{POS} long, cells array<string>, fault string"), "rows")
     if bad := rows.filter("fault is not null").orderBy(POS).first():
         raise ValueError(bad.fault)
     return rows.select(POS, *(F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)))

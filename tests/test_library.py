@@ -88,6 +88,12 @@ def test_table_operators(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "dir"), header=True).count() == 5
 
 
+def test_files_that_change_are_read_anew(spark, tmp_path):
+    for n in ("1", "2"):
+        assert cells(read_csv(spark, csv_file(tmp_path, f"a\n{n}\n"))) == [(n,)]
+        assert read_geojson(spark, csv_file(tmp_path, json.dumps(collection((n, {"type": "Polygon", "coordinates": [square(1.0)]}))), "n.json"), "area").first().name == n
+
+
 def test_read_csv_several_files(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
