@@ -262,27 +262,26 @@ def _elsewhere(members: DataFrame, sets: DataFrame) -> DataFrame:
     step = lambda v: F.floor(4 * F.log2(v + 1.0))
     lowest = lambda k: F.ceil(F.pow(F.lit(2.0), k / 4) - 1.0 - 1e-6)
     least = lambda v, w: F.greatest(F.ceil((v + w - F.col("size")) / (NUM + DEN)), F.lit(1))
-    bounds = each.groupBy("c").agg(F.min("v").alias("any_v"), F.min(F.when(F.col("far"), F.col("v"))).alias("far_v"))
     held = F.size("tokens")
-    each = each.join(bounds, "c").withColumn("step", step(F.col("v")))
+    # tables of their own, so that Spark can split the joins with them where one centre is hot
+    ends = each.groupBy("c").agg(F.min("v").alias("any_v"), F.min(F.when(F.col("far"), F.col("v"))).alias("far_v"), F.min(F.struct("v", "node", "own")).alias("middle"))
+    each = each.join(written(ends, "op8 bounds"), "c").withColumns({"step": step(F.col("v")), "x": F.col("far") & (least(F.col("v"), F.col("any_v")) <= held), "y": least(F.col("v"), F.col("far_v")) <= held})
     # sets whose v together is not above the centre's size are similar whatever they differ in: a star says the same as all pairs
-    middle = each.groupBy("c").agg(F.min(F.struct("v", "node", "own")).alias("m")).select("c", F.col("m.v").alias("m_v"), F.col("m.node").alias("m_node"), F.col("m.own").alias("m_own"))
-    star = each.join(middle, "c").filter((F.col("v") + F.col("m_v") <= F.col("size")) & (F.col("own") != F.col("m_own"))).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
+    close = (F.col("v") + F.col("middle.v") <= F.col("size")) & (F.col("own") != F.col("middle.own"))
+    star = each.filter(close).select(F.least("node", "middle.node").alias("a"), F.greatest("node", "middle.node").alias("b"))
+    steps = each.groupBy("c").agg(F.collect_set(F.when(F.col("x"), F.col("step"))).alias("far_steps"), F.collect_set(F.when(F.col("y"), F.col("step"))).alias("any_steps"))
+    steps = written(steps, "op8 steps")
 
-    x = each.filter(F.col("far") & (least(F.col("v"), F.col("any_v")) <= held))
-    y = each.filter(least(F.col("v"), F.col("far_v")) <= held)
-    steps = lambda side, name: side.groupBy("c").agg(F.collect_set("step").alias(name))
-
-    def dealt(side: DataFrame, other: DataFrame, mine: str, theirs: str, name: str) -> DataFrame:
-        rows = side.join(steps(other, "others"), "c").select("c", "node", "own", "size", "v", "tokens", F.col("step").alias(mine), F.explode("others").alias(theirs))
+    def dealt(side: str, others: str, mine: str, theirs: str, name: str) -> DataFrame:
+        rows = each.filter(side).join(steps.select("c", others), "c").select("c", "node", "own", "size", "v", "tokens", F.col("step").alias(mine), F.explode(others).alias(theirs))
         first = rows.withColumn("first", held - least(F.col("v"), lowest(F.col(theirs))) + 1).filter("first > 0")
         return first.select("c", mine, theirs, F.explode(F.expr("slice(tokens, 1, int(first))")).alias("token"), F.struct("node", "own", "size", "v", held.alias("held")).alias(name))
 
     p, q = F.col("p"), F.col("q")
     enough = F.ceil((p["v"] + q["v"] - p["size"]) / (NUM + DEN)) <= F.least(p["held"], q["held"])
     keys = ["c", "far_step", "any_step", "token"]
-    right = dealt(y, x, "any_step", "far_step", "q").select(*(F.col(k).alias(f"_{k}") for k in keys), "q")
-    met = dealt(x, y, "far_step", "any_step", "p").join(right, reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys)) & (p["own"] != q["own"]) & enough)
+    right = dealt("y", "far_steps", "any_step", "far_step", "q").select(*(F.col(k).alias(f"_{k}") for k in keys), "q")
+    met = dealt("x", "any_steps", "far_step", "any_step", "p").join(right, reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys)) & (p["own"] != q["own"]) & enough)
     return met.select(F.least(p["node"], q["node"]).alias("a"), F.greatest(p["node"], q["node"]).alias("b")).unionAll(star).distinct()
 
 
@@ -295,6 +294,7 @@ def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame,
     having = sets.filter("tokens is not null").select("key", "n", F.col("shared").alias("held"), "tokens")
 
     typical = entries.groupBy("signature").agg(F.max("doc").alias("centre"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
+    typical = written(typical, "op8 typical")  # so that Spark can split the join where one signature is hot
     # one row for each document and most typical one of its signatures
     near = entries.join(typical, "signature").groupBy(F.col("centre.key").alias("c"), F.col("doc.key").alias("node")).agg(F.max("centre").alias("centre"), F.max("doc").alias("doc"))
     near = written(near, "op8 near")
@@ -323,10 +323,13 @@ def jaccard_classes(docs: DataFrame, block_bytes: int = 64_000_000) -> DataFrame
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key(F.col("text")))
     sizes, found = linked(rows.filter("text is not null").select("key", "text"), block_bytes)
-    placed = rows.select("doc_id", "key").join(sizes, "key", "left").join(found.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
-    smallest = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    return placed.join(smallest, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a row for each text, however many copies there are; tables of their own, so that Spark can split the joins with them
+    texts = rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(sizes.filter("n > 0"), "key").join(found.withColumnRenamed("node", "key"), "key", "left")
+    texts = written(texts.select("key", "n", "least", F.coalesce("component", "key").alias("component")), "op8 texts")
+    smallest = written(texts.groupBy("component").agg(F.min("least").alias("smallest")), "op8 smallest")
+    classes = written(texts.join(smallest, "component").select("key", "n", "smallest"), "op8 classes")
+    out = rows.select("doc_id", "key").join(classes, "key", "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n").isNotNull(), F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
