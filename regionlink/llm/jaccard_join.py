@@ -319,7 +319,7 @@ def jaccard_classes(docs: DataFrame, block_bytes: int = 64_000_000) -> DataFrame
 
     Rows with equal texts are one text. A row whose text has no words, or is null, links with nothing: its component is its
     own id, however many such rows there are. A null doc_id is never the smallest, unless all are null. Repeated rows give
-    their rows. Other columns are ignored. An empty table gives no rows.
+    their rows. Texts of any length are compared whole. A similarity of just 3/4 links. Other columns are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key(F.col("text")))
     sizes, found = linked(rows.filter("text is not null").select("key", "text"), block_bytes)

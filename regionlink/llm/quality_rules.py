@@ -101,6 +101,39 @@ class LineModel:
 PRIOR = LineModel(tuple(w for _, w in FEATURES), TRANSITIONS, (0.0, 0.0))
 
 
+def objective(theta: np.ndarray, feats: np.ndarray, mask: np.ndarray, gold: np.ndarray, share: np.ndarray, prior: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean log-probability that all lines of a part have its label, parts weighed by share, less the ridge; and its gradient (forward and backward sums)."""
+    size, k, rows = feats.shape[1], feats.shape[2], np.arange(len(gold))
+    w, t, s = theta[:k], theta[k : k + 4].reshape(2, 2), theta[k + 4 :]
+    emit = np.stack([np.zeros_like(mask), feats @ w], 2)
+    alpha = np.zeros((size, len(gold), 2))
+    beta = np.zeros((size, len(gold), 2))
+    alpha[0] = s + emit[:, 0]
+    for i in range(1, size):
+        live = mask[:, i, None]
+        alpha[i] = live * (np.logaddexp(alpha[i - 1][:, :1] + t[0], alpha[i - 1][:, 1:] + t[1]) + emit[:, i]) + (1 - live) * alpha[i - 1]
+    for i in range(size - 2, -1, -1):
+        nxt = beta[i + 1] + emit[:, i + 1]
+        beta[i] = mask[:, i + 1, None] * np.logaddexp(nxt[:, :1] + t[:, 0], nxt[:, 1:] + t[:, 1])
+    z = np.logaddexp(*alpha[-1].T)
+    p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T * mask
+    grad = np.zeros_like(theta)
+    off = share * mask * (gold[:, None] - p1)
+    grad[:k] = np.einsum("ns,nsk->k", off, feats)
+    for i in range(1, size):
+        live = mask[:, i] * share[:, 0]
+        both = np.exp(alpha[i - 1][:, :, None] + t + (emit[:, i] + beta[i])[:, None, :] - z[:, None, None])
+        grad[k : k + 4] -= np.ravel((both * live[:, None, None]).sum(0))
+        np.add.at(grad, k + 3 * gold, live)
+    first = np.exp(alpha[0] + beta[0] - z[:, None])
+    grad[k + 4 :] -= (first * share).sum(0)
+    np.add.at(grad, k + 4 + gold, share[rows, 0])
+    n = len(gold)
+    path = (mask * emit[rows, :, gold]).sum(1) + (mask[:, 1:].sum(1)) * t[gold, gold] + s[gold]
+    value = (share[:, 0] * (path - z)).sum() / n - ridge * ((theta - prior) ** 2).sum() / (2 * n)
+    return float(value), grad / n - ridge * (theta - prior) / n
+
+
 def train(sequences: list[tuple[list[int], int]], steps: int = 120, rate: float = 0.1, ridge: float = 1.0, longest: int = 64) -> LineModel:
     """Maximum a posteriori weights for (features of a document's lines, its label); PRIOR where either label is missing.
 
@@ -116,39 +149,11 @@ def train(sequences: list[tuple[list[int], int]], steps: int = 120, rate: float
         mask[i, : len(x)] = 1
     gold = np.array([y for _, y in parts])
     # each document and each label counts alike
-    lines = Counter()
-    for x, y in parts:
-        lines[y] += len(x)
     share = np.array([len(parts) / (2 * sum(1 for _, z in parts if z == y)) for y in gold])[:, None] / mask.sum(1, keepdims=True) * mask.sum(1).mean()
     prior = np.concatenate([PRIOR.weights, np.ravel(TRANSITIONS), (0.0, 0.0)])
     theta, m, v = prior.copy(), np.zeros_like(prior), np.zeros_like(prior)
-    rows = np.arange(len(parts))
     for step in range(1, steps + 1):
-        w, t, s = theta[:k], theta[k : k + 4].reshape(2, 2), theta[k + 4 :]
-        emit = np.stack([np.zeros_like(mask), feats @ w], 2)
-        alpha = np.zeros((size, len(parts), 2))
-        beta = np.zeros((size, len(parts), 2))
-        alpha[0] = s + emit[:, 0]
-        for i in range(1, size):
-            live = mask[:, i, None]
-            alpha[i] = live * (np.logaddexp(alpha[i - 1][:, :1] + t[0], alpha[i - 1][:, 1:] + t[1]) + emit[:, i]) + (1 - live) * alpha[i - 1]
-        for i in range(size - 2, -1, -1):
-            nxt = beta[i + 1] + emit[:, i + 1]
-            beta[i] = mask[:, i + 1, None] * np.logaddexp(nxt[:, :1] + t[:, 0], nxt[:, 1:] + t[:, 1])
-        z = np.logaddexp(*alpha[-1].T)
-        p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T * mask
-        grad = np.zeros_like(theta)
-        off = share * mask * (gold[:, None] - p1)
-        grad[:k] = np.einsum("ns,nsk->k", off, feats)
-        for i in range(1, size):
-            live = mask[:, i] * share[:, 0]
-            both = np.exp(alpha[i - 1][:, :, None] + t + (emit[:, i] + beta[i])[:, None, :] - z[:, None, None])
-            grad[k : k + 4] -= np.ravel((both * live[:, None, None]).sum(0))
-            np.add.at(grad, k + 3 * gold, live)
-        first = np.exp(alpha[0] + beta[0] - z[:, None])
-        grad[k + 4 :] -= (first * share).sum(0)
-        np.add.at(grad, k + 4 + gold, share[rows, 0])
-        grad = grad / len(parts) - ridge * (theta - prior) / len(parts)
+        _, grad = objective(theta, feats, mask, gold, share, prior, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     theta = np.round(theta, 6)
@@ -229,7 +234,8 @@ _TYPES = (("n_words", pa.int64(), "long"), ("word_chars", pa.int64(), "long"), (
 def line_quality(docs: DataFrame, model: LineModel, threshold: float = 0.5) -> DataFrame:
     """Per row of docs (doc_id, text): the base counts, base_failed, kept, n_lines, content_share and a label b or c for each line.
 
-    A null or empty text has no words, one blank line, and isn't kept. Null ids, repeated rows and rows with equal text each
+    A null or empty text has no words, one blank line, and isn't kept. Texts of any length are labelled whole, line by line; of
+    equally likely labels content wins. Null ids, repeated rows and rows with equal text each
     give their row. Other columns are ignored. An empty table gives no rows.
     """
 

@@ -37,7 +37,7 @@ def shards(docs: DataFrame, n_shards: int = 8, seed: int = 5) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
     size: UTF-8 bytes of the text plus 1. Row counts of shards differ by one at most, and so do, up to rounding, those of a
-    source. A null text has size 1 and the CRC of the empty string. A null source is one of its own, the last. Repeated rows
+    source. A null text has size 1 and the CRC of the empty string; a text of any length is one row. A null source is one of its own, the last. Repeated rows
     are dealt as rows of their own; which of them comes first makes no difference. Ties of fractions go by source, then hash.
     Other columns are ignored. An empty table gives no rows.
     """

@@ -54,7 +54,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
     tokenizer_path: a ``tokenizers`` JSON file that lower-cases and drops white space, at the same place on every machine.
     head: pre-tokens that are looked up without a shuffle (see lexicon). All others are joined.
 
-    A null text counts as empty: no bytes, no tokens. Rows with the same id and text are one row each in the result, with
+    A null text counts as empty: no bytes, no tokens. Texts of any length are counted whole. Of pre-tokens equally frequent, those
+    first by bytes come into the head, which changes no count. Rows with the same id and text are one row each in the result, with
     the same counts. A null doc_id is kept. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession

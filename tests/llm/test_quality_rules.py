@@ -4,7 +4,9 @@ import itertools
 import random
 from collections import Counter
 
-from regionlink.llm.quality_rules import FEATURES, PRIOR, LineModel, fit, keep_content, line_quality, text_features, train
+import numpy as np
+
+from regionlink.llm.quality_rules import FEATURES, PRIOR, LineModel, fit, keep_content, line_quality, objective, text_features, train
 
 from .conftest import ODD, rows
 
@@ -83,3 +85,30 @@ def test_a_sample_has_one_text_for_each_id(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 5), (3, 0), (None, 1)], "doc_id long, quality int")
     assert fit(docs, labels) == fit(docs.repartition(7), labels)
     assert fit(docs.limit(0), labels) == fit(docs, labels.limit(0)) == PRIOR
+
+
+def test_gradient_is_that_of_the_objective():
+    rng = np.random.default_rng(7)
+    n, size, k = 5, 4, len(FEATURES)
+    feats = rng.integers(0, 2, (n, size, k)).astype(float)
+    mask = (np.arange(size) < np.array([4, 1, 2, 3, 4])[:, None]).astype(float)
+    feats *= mask[..., None]
+    gold, share = np.array([0, 1, 1, 0, 1]), rng.random((n, 1)) + 0.5
+    theta, prior = rng.normal(size=k + 6), rng.normal(size=k + 6)
+    value, grad = objective(theta, feats, mask, gold, share, prior, 0.7)
+
+    def by_hand(theta):
+        """The same from all labellings."""
+        w, t, s = theta[:k], theta[k : k + 4].reshape(2, 2), theta[k + 4 :]
+        total = 0.0
+        for i in range(n):
+            lines = int(mask[i].sum())
+            scores = {p: s[p[0]] + sum(float(feats[i, j] @ w) for j in range(lines) if p[j]) + sum(t[a, b] for a, b in zip(p, p[1:])) for p in itertools.product((0, 1), repeat=lines)}
+            total += share[i, 0] * (scores[(gold[i],) * lines] - np.logaddexp.reduce(list(scores.values())))
+        return total / n - 0.7 * ((theta - prior) ** 2).sum() / (2 * n)
+
+    assert np.isclose(value, by_hand(theta))
+    for i in range(k + 6):
+        step = np.zeros(k + 6)
+        step[i] = 1e-5
+        assert np.isclose(grad[i], (by_hand(theta + step) - by_hand(theta - step)) / 2e-5, atol=1e-6)
