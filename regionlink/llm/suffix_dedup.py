@@ -203,7 +203,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
     length: of the strings. shard_bytes: of fragments that are sorted together, about. memory_items: more items of a sort's
     queue or arrays go to files; a string of names of four times as many is still sorted in memory, a longer one by recursion. hot: distinct fragments of one anchor beyond which its windows are grouped by digest. Strings are judged on the
     input: what is removed covers all their occurrences. Texts below ``length`` bytes lose nothing; a null text is empty.
-    Texts found several times lose everything, repeated rows included. Null ids are kept, other columns ignored. An empty
+    Texts found several times lose everything, repeated rows included; texts of any
+    length are looked at whole, in parts that overlap. There are no ties: all occurrences go. Null ids are kept, other columns ignored. An empty
     table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -231,13 +232,15 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
             yield pa.RecordBatch.from_arrays([pa.array(found["anchor"]), pa.array(found["fragment"]), b.column("key").take(pa.array(row)), pa.array(found["start"]), pa.array(found["windows"])], ["anchor", "fragment", "key", "start", "windows"])
 
     again = cuts.mapInArrow(seen, _SEEN).groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("fragment", "place") for f, n in ((F.min, "min"), (F.max, "max"))))
-    again = again.filter("min_place < max_place").select("anchor", (F.col("min_fragment") < F.col("max_fragment")).alias("mixed"))
+    # a table of its own, so that Spark can split the join where one anchor is hot
+    again = written(again.filter("min_place < max_place").select("anchor", (F.col("min_fragment") < F.col("max_fragment")).alias("mixed")), "op7 anchors")
     # rows of equal texts in several tasks are one place
     found = written(cuts.mapInArrow(placed, _PLACED).join(again, "anchor"), "op7 fragments")
 
     mixed = found.filter("mixed").groupBy("anchor", "fragment").agg(F.min(F.struct("key", "start", "windows")).alias("one"), F.max(F.struct("key", "start", "windows")).alias("other"))
     mixed = mixed.select("anchor", "fragment", "one.*", (F.col("one") < F.col("other")).alias("many"))
     often = mixed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
+    often = written(often, "op7 hot anchors")
     mixed = written(mixed.join(often, "anchor", "left"), "op7 mixed")
     size = mixed.filter("hot IS NULL").agg(F.sum(F.col("windows") + length)).first()[0] or 0
     n_shards = max(1, -(-size // shard_bytes))
@@ -308,7 +311,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
 
     done = texts.join(spans, "key", "left").select("key", "text", "parts").mapInArrow(remove, _DONE).dropDuplicates(["key"])
     copies = rows.select("key").groupBy("key").agg(F.count("*").alias("copies"))
-    out = rows.select("doc_id", "key", n_bytes(F.col("text")).alias("n_bytes")).join(done.join(copies, "key"), "key")
+    of_text = written(done.join(copies, "key"), "op7 texts")
+    out = rows.select("doc_id", "key", n_bytes(F.col("text")).alias("n_bytes")).join(of_text, "key")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
         "doc_id",
