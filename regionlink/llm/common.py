@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,23 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts).cast("binary")))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one, named row: what is put beside it clashes with none of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def rows_with(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is wanted. make gives, once a task, what tells of many texts which."""
+    rows, at = docs.select(whole_row(docs)), docs.columns.index("text")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = make()
+        for b in batches:
+            yield b.filter(pa.array(wanted(b.column(0).field(at).to_pylist()), pa.bool_()))
+
+    return rows.mapInArrow(some, rows.schema).select("row.*")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder and read again: the lineage is cut, and a lost executor loses none of it.
 

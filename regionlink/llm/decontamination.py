@@ -18,7 +18,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, rows_with, small_batches
 
 SHINGLE, BLOCKS, BITS = 5, 8, 64
 #: Characters of items that are searched for at once.
@@ -300,16 +300,14 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, ra
     stays empty.
     """
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    at = docs.columns.index("text")
     for group in _groups(benchmark, group_chars):
         sent = docs.sparkSession.sparkContext.broadcast(sorted({tuple(words_of(r.text)) for r in group.collect()} - {()}))
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def searches(sent=sent) -> Callable[[list], list[bool]]:
             items = Benchmark({i: list(w) for i, w in enumerate(sent.value)}, radius, least)
-            for b in batches:
-                yield b.filter(pa.array([not found for found in items.search_all([words_of(x) for x in b.column(at).to_pylist()])], pa.bool_()))
+            return lambda texts: [not found for found in items.search_all([words_of(x) for x in texts])]
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = rows_with(docs, searches)
     return docs
 
 

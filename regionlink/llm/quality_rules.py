@@ -9,7 +9,7 @@ the share of its words in content lines reaches a threshold and the base rules h
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, rows_with
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -255,14 +255,12 @@ def keep_content(docs: DataFrame, model: LineModel, threshold: float = 0.5) -> D
     Rows with equal text fare alike, repeated rows and null ids too. Texts of any length are judged whole. An empty table
     stays empty.
     """
-    at = docs.columns.index("text")
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judges() -> Callable[[list], list[bool]]:
         cache: dict[int, float] = {}
-        for b in batches:
-            yield b.filter(pa.array([judge(x, model, threshold, cache)[6] for x in b.column(at).to_pylist()], pa.bool_()))
+        return lambda texts: [judge(x, model, threshold, cache)[6] for x in texts]
 
-    return docs.mapInArrow(kept, docs.schema)
+    return rows_with(docs, judges)
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
