@@ -20,7 +20,7 @@ STEMS = (
     "mozilla public", "eclipse public", "eclipse distribution", "cddl", "common development", "common public", "ibm public",
     "european union public", "artistic", "same terms as perl", "python", "psf", "php", "zope public", "open software",
     "academic free", "business source", "server side public", "elastic", "polyform", "open font", "open data", "cecill",
-    "mulan", "openldap public", "nasa open source", "contributors may be used", "advertising materials", "plainly marked",
+    "mulan", "openldap public", "nasa open source", "apple public source", "contributors may be used", "advertising materials", "plainly marked",
 )
 
 _NOTICE = "(?:licen[sc]ed|released|distributed|published|provided|available|made available|covered|governed|redistributed|offered|shared|use is granted) (?:under|by|subject to|pursuant to|in accordance with)(?: either)?(?: the)?(?: terms(?: and conditions)? of)?(?: the)? "
@@ -112,6 +112,27 @@ LICENSES = (
     ("oldap-2.8", "openldap public" + _V + "2 8", "oldap 2 8", "openldap public"),
     ("intel", "intel open source licen[sc]e", "intel", "licen"),
     ("nasa-1.3", "nasa open source agreement(?: version)? 1 3", "nasa 1 3", "nasa open source"),
+    ("lppl-1.3", "latex project public licen[sc]e(?: version| v)?(?: 1 3[ac]?)?", "lppl 1 3c", "licen"),
+    ("apsl-2", "apple public source" + _V + "2(?: 0)?", "apsl 2 0", "apple public source"),
+    ("qpl-1", "q public licen[sc]e(?: version)?(?: 1 0)?", "qpl 1 0", "licen"),
+    ("rpl-1.5", "reciprocal public licen[sc]e(?: version)?(?: 1 5)?", "rpl 1 5", "licen"),
+    ("npl-1.1", "netscape public licen[sc]e(?: version)?(?: 1 [01])?", "npl 1 1", "licen"),
+    ("spl-1", "sun public licen[sc]e(?: version)?(?: 1 0)?", "spl 1 0", "licen"),
+    ("sissl", "sun industry standards source licen[sc]e", "sissl", "licen"),
+    ("watcom-1", "sybase open watcom public licen[sc]e", "watcom 1 0", "licen"),
+    ("nokia", "nokia open source licen[sc]e", "nokia", "licen"),
+    ("lpl-1.02", "lucent public licen[sc]e(?: version)?(?: 1 02)?", "lpl 1 02", "licen"),
+    ("rpsl-1", "real ?networks public source licen[sc]e", "rpsl 1 0", "licen"),
+    ("efl-2", "eiffel forum licen[sc]e(?: version)?(?: 2)?", "efl 2 0", "licen"),
+    ("blueoak-1", "blue oak model licen[sc]e(?: 1 0 0)?", "blueoak 1 0 0", "licen"),
+    ("json", "json licen[sc]e", "json", "licen"),
+    ("tcl", "tcl(?: tk)? licen[sc]e", "tcl", "licen"),
+    ("unicode", "unicode(?: data files and software)? licen[sc]e(?: v3| agreement)?", "unicode (?:dfs 2016|3 0)", "licen"),
+    ("icu", "icu licen[sc]e", "icu", "licen"),
+    ("ogl-3", "open government licen[sc]e(?: version| v)? ?3(?: 0)?", "ogl uk 3 0", "licen"),
+    ("etalab-2", "(?:etalab )?licen[sc]e ouverte(?: open licen[sc]e)?(?: version)?(?: 2 0)?", "etalab 2 0", "licen"),
+    ("llama", "llama [234](?: \\d)? community licen[sc]e", "", "licen"),
+    ("rail", "responsible ai licen[sc]es?", "", "licen"),
 )
 
 #: Creative Commons by the words of their short and long names.
@@ -149,6 +170,71 @@ TEXTS = (
     ("public-domain", "(?:released|placed|dedicated|put) (?:in ?to|to|in) the public domain", "public domain"),
     ("public-domain", "this work is in the public domain", "public domain"),
     ("python-2", "psf is making python available to licen[sc]ee on an as is basis", "licen"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non ?infringement", "warrant"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", "copyright"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribut"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribut"),
+    ("bsd", "this software is provided by the (?:copyright holders|copyright owner|authors?|regents) and contributors as is and any express or implied warranties", "warrant"),
+    ("ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers", "redistribut"),
+    ("php-3", "redistribution and use in source and binary forms with or without modification is permitted provided that the following conditions are met", "redistribut"),
+    ("oldap-2.8", "redistribution and use of this software and associated documentation software with or without modification are permitted provided that the following conditions are met", "redistribut"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code", "redistribut"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", "permission to use"),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", "permission to use"),
+    ("w3c", "permission to copy modify and distribute this (?:work|software and its documentation) with or without modification for any purpose and without fee or royalty is hereby granted", "permission to copy"),
+    ("tcl", "the authors hereby grant permission to use copy modify distribute and licen[sc]e this software and its documentation for any purpose", "permission to use"),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of (?:the unicode data files|data files)", "permission is hereby"),
+    ("ofl-1.1", "permission is hereby granted free of charge to any person obtaining a copy of the font software", "permission is hereby"),
+    ("ofl-1.1", "this licen[sc]e is copied below and is also available with a faq at", "licen"),
+    ("upl-1", "permission is hereby granted to any person obtaining a copy of this software associated documentation and or data", "permission is hereby"),
+    ("fsfap", "copying and distribution of this file with or without modification are permitted in any medium without royalty", "permitted in any medium"),
+    ("fsful", "the free software foundation gives unlimited permission to copy distribute and modify it", "permission to copy"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control", "artistic"),
+    ("artistic-2", "you are permitted to use the standard version and create and use modified versions for any purpose without restriction", "permitted to use"),
+    ("polyform-nc", "any noncommercial purpose is a permitted purpose", "permitted purpose"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim except that they must include this licen[sc]e text", "licen"),
+    ("ms-pl", "this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e", "licen"),
+    ("apache-2", "licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements", "apache software"),
+    ("apache-2", "a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e to reproduce prepare derivative works of", "copyright"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", "apache software"),
+    ("imagemagick", "you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at(?: \\S+){0,4} imagemagick", "licen"),
+    ("gpl", "see the gnu general public licen[sc]e for more details", "general public"),
+    ("gpl", "the licen[sc]es for most software(?: and other practical works)? are designed to take away your freedom to share and change", "licen"),
+    ("gpl-2-or-later", "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version", "general public"),
+    ("gpl-3-or-later", "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version", "general public"),
+    ("gpl-3", "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", "general public"),
+    ("lgpl", "this licen[sc]e the lesser general public licen[sc]e applies to some specially designated software packages", "general public"),
+    ("lgpl-3", "this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3 of the gnu general public licen[sc]e", "general public"),
+    ("lgpl-2.1-or-later", "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1 of the licen[sc]e or at your option any later version", "general public"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e", "redistribut"),
+    ("agpl-3", "specifically designed to ensure cooperation with the community in the case of network server software(?: \\S+){0,40}? licen[sc]es?", "licen"),
+    ("gfdl", "the purpose of this licen[sc]e is to make a manual textbook or other functional and useful document free", "licen"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1", "mozilla public"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "common development"),
+    ("cpl-1", "the accompanying program is provided under the terms of this common public licen[sc]e", "common public"),
+    ("ipl-1", "the accompanying program is provided under the terms of this ibm public licen[sc]e", "ibm public"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public licen[sc]e", "eclipse public"),
+    ("eupl", "licen[sc]ed under the eupl version 1 [12] or as soon they will be approved by the european commission subsequent versions of the eupl", "licen"),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public licen[sc]e", "licen"),
+    ("apsl", "modifications of original code as defined in and that are subject to the apple public source licen[sc]e", "licen"),
+    ("python-2", "this licen[sc]e agreement is between the python software foundation(?: psf)? and the individual or organi[sz]ation", "python"),
+    ("php-3", "this product includes php software freely available from", "php"),
+    ("bsl-1.1", "the licen[sc]or hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licen[sc]ed work", "licen"),
+    ("unlicense", "in jurisdictions that recogni[sz]e copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", "public domain"),
+    ("odbl-1", "the open database licen[sc]e odbl is a licen[sc]e agreement intended to allow users to freely share modify and use this database", "licen"),
+    ("pddl-1", "the open data commons public domain dedication(?: and)? licen[sc]e is a document intended to allow you to freely share modify and use this work", "public domain"),
+    ("cc0-1", "has dedicated the work to the public domain by waiving all of his or her rights", "public domain"),
+    ("cc0-1", "has waived all copyright and related or neighbou?ring rights", "copyright"),
+    ("cc0-1", "copyright and related rights waived via cc0", "cc0"),
+    ("creative-commons", "the work as defined below is provided under the terms of this creative commons public licen[sc]e", "creative commons"),
+    ("cc-by", "you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made", "licen"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same licen[sc]e as the original", "licen"),
+    ("cecill", "this software is governed by the cecill(?: [abc])? licen[sc]e under french law and abiding by the rules of distribution of free software", "cecill"),
+    ("mulan-2", "you can use this software according to the terms and conditions of the mulan psl v2", "mulan"),
+    ("eula", "by (?:installing|downloading|copying|using)(?: \\S+){0,12}? you agree to be bound by the terms of this (?:end user )?licen[sc]e(?: agreement)?", "licen"),
     ("proprietary", "(?:strictly )?(?:confidential and )?proprietary unauthori[sz]ed (?:copying|use|distribution)(?: of this file)? (?:via any medium )?is (?:strictly )?prohibited(?: \\S+){0,6}? (?:copyright|licen[sc]e|permission)", "prohibited"),
 )
 
@@ -170,6 +256,12 @@ LOOSES = (
     ("artistic", "artistic licen[sc]e", "licen"),
     ("creative-commons", "creative commons(?: licen[sc]e)?", "creative commons"),
     ("proprietary", "(?:proprietary|commercial) licen[sc]e", "licen"),
+    ("eula", "end user licen[sc]e agreement", "licen"),
+    ("mit-style", "(?:mit|x11) style licen[sc]e", "licen"),
+    ("cddl", "common development and distribution licen[sc]e", "licen"),
+    ("cecill", "cecill(?: [abc])? licen[sc]e", "cecill"),
+    ("open-database", "open database licen[sc]e", "licen"),
+    ("source-available", "source available licen[sc]e", "licen"),
     ("public-domain", "public domain", "public domain"),
 )
 

@@ -84,7 +84,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): n_words, the base phrases (n_base, first_word, last_word, base_labels), labels, score.
 
     labels: those of the base phrases and of all detections that aren't suppressed. score: the confidence of the surest of
-    these detections; 0 without one. A null or empty text has no words and no labels (empty strings). Repeated rows and null
+    these detections; 0 without one. A null or empty text has no words and no labels (empty strings). Texts of any length
+    are scanned whole. Of equal intervals the stronger rule counts, then the earlier one. Repeated rows and null
     ids give their rows. Other columns are ignored. An empty table gives no rows.
     """
     base = written(scanned(docs), "op6 spans")
