@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, small_batches, written
+from .common import documents, n_partitions, row_key, small_batches, written
 from .graph import components, joined
 
 SHINGLE = 5
@@ -166,7 +166,9 @@ def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> Da
                 seen.add(k)
             yield b.filter(pa.array(fresh, pa.bool_()))
 
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).select("block", "key", "text").mapInArrow(once, "block int, key binary, text string").repartition(n, "block")
+    blocks = texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).select("block", "key", "text").mapInArrow(once, "block int, key binary, text string")
+    # a task takes its blocks one by one; more tasks than needed are as many files
+    blocks = blocks.repartition(min(n, max(n_partitions(texts.sparkSession), -(-n // 4))), "block")
 
     def held(table: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
         """Keys and token sets of a block, and its shortened tokens with the number of texts that hold them."""
