@@ -6,19 +6,14 @@ Each treats null, empty and very long texts, ties, repeated rows and empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlink.llm import decontamination, jaccard_join, quality_rules, sharding, source_mixing
-from regionlink.llm.common import n_words, row_key, written
+from regionlink.llm.common import n_words, row_key, whole_row, written
 from regionlink.llm.ordering import seeded_hash
 
 
-def _whole(docs: DataFrame) -> Column:
-    """All columns of a row as one."""
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose lines are content enough.
 
@@ -36,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     link with nothing and all stay. Texts of any length are compared whole. An empty table stays empty.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(_whole(docs), doc_id.alias("doc_id"), row_key(text).alias("key"), (n_words(text) > 0).alias("worded"), text.alias("text"))
+    rows = docs.select(whole_row(docs), doc_id.alias("doc_id"), row_key(text).alias("key"), (n_words(text) > 0).alias("worded"), text.alias("text"))
     _, found = jaccard_join.linked(rows.filter("worded").select("key", "text"))
     # a row for each text, however many copies there are, then one for each group
     texts = rows.filter("worded").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("rank"))
@@ -66,7 +61,7 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     share = taken.groupBy("hash").agg((F.sum("taken") / F.sum("size")).alias("share"))
     chance = F.conv(F.substring("hash", 20, 8), 16, 10).cast("double") / float(16**8)
     times = F.floor(F.col("share") + chance).cast("int")
-    rows = docs.select(_whole(docs), seeded_hash(4, F.col("doc_id"), F.col("text")).alias("hash"))
+    rows = docs.select(whole_row(docs), seeded_hash(4, F.col("doc_id"), F.col("text")).alias("hash"))
     return rows.join(share.hint("merge"), "hash").withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
