@@ -11,13 +11,15 @@ from .names import strip_space
 def to_number(cell: Column, default: float | None = 0.0) -> Column:
     """The number in a cell of text: only digits, points and minus signs count, and outer parentheses negate.
 
+    A column of numbers is taken as it is; as text, large and small ones would have an exponent, whose E does not count.
     default: for null, blank and unreadable cells. Decimal digits of other scripts are not read.
     """
     text = strip_space(cell.cast("string"))
+    given = F.typeof(cell).rlike(r"^(tinyint|smallint|int|bigint|float|double|decimal\(.*)$")
     negated = text.startswith("(") & text.endswith(")")
     digits = F.regexp_replace(F.when(negated, F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text), r"[^0-9.\-]", "")
     number = digits.try_cast("double")
-    return F.coalesce(F.when(negated, -number).otherwise(number), F.lit(default).cast("double"))
+    return F.coalesce(F.when(given, text.try_cast("double")).when(negated, -number).otherwise(number), F.lit(default).cast("double"))
 
 
 def fixed(value: Column, pattern: Column | str) -> Column:
@@ -25,6 +27,11 @@ def fixed(value: Column, pattern: Column | str) -> Column:
     return F.replace(F.call_function("format_number", value, F.lit(pattern) if isinstance(pattern, str) else pattern), F.lit(","))
 
 
+def plain(value: Column) -> Column:
+    """A number in all its digits and without an exponent: to_number() reads the same number from it."""
+    return fixed(value, "0." + "#" * 340)
+
+
 def one_decimal(value: Column) -> Column:
     return fixed(value, "0.0")
 

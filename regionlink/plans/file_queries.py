@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import strip_space
-from ..functions.values import general
+from ..functions.values import general, plain
 from ..operators.classify import breaks_by
 from ..operators.geometry import feature_boxes
 from ..operators.matching import canonical_size, match_names
@@ -203,7 +203,7 @@ def map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, table = _path(spark, "squares.geojson"), _path(spark, "values.csv")
     squares = [{"type": "Feature", "properties": {"name": r["name"]}, "geometry": {"type": "Polygon", "coordinates": [[[p.lon, p.lat] for p in r["rings"][0]]]}} for r in ordered(_squares(spark, sf_dir))]
     put_text(spark, regions, json.dumps({"type": "FeatureCollection", "features": squares}))
-    values = _report(spark, sf_dir).values.select(POS, F.col("region").alias("name"), F.col("value").cast("string").alias("value"))
+    values = _report(spark, sf_dir).values.select(POS, F.col("region").alias("name"), plain(F.col("value")).alias("value"))
     put_text(spark, table, "name,value\n" + "".join(f"{r['name']},{r['value']}\n" for r in ordered(values)))
     with tempfile.TemporaryDirectory() as folder:  # only the driver writes and reads it
         cli.draw(spark, cli.parser().parse_args(["map", table, regions, "--name-column", "name", "--value-column", "value", "--out", f"{folder}/deep/map.svg"]))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regionlink.functions.names import NOISE, edit_distance, normalise_key, similarity
-from regionlink.functions.values import class_of, general, one_decimal, short_number, to_number, xml_escape
+from regionlink.functions.values import class_of, general, one_decimal, plain, short_number, to_number, xml_escape
 
 
 def column(spark, values, f, kind="string"):
@@ -88,3 +88,18 @@ def test_numbers_as_text(spark):
         return str(int(v)) if v == int(v) else f"{v:.1f}"
 
     assert column(spark, finite, short_number, "double") == [short(v) for v in finite]
+
+
+LARGE_AND_SMALL = [12345678.9, 73512345.67, 1e7, -9.87654321e12, 1e-4, -1.5e-300, 1.5e300, 0.1 + 0.2, 1e22, 5e-324, 0.0, 7.0]
+
+
+def test_plain_numbers_are_read_as_they_were(spark):
+    text = column(spark, LARGE_AND_SMALL, plain, "double")
+    assert [float(t) for t in text] == LARGE_AND_SMALL and not any("E" in t or "," in t for t in text)
+    assert column(spark, LARGE_AND_SMALL, lambda c: to_number(plain(c)), "double") == LARGE_AND_SMALL
+
+
+def test_to_number_of_numbers(spark):
+    assert column(spark, [*LARGE_AND_SMALL, None], lambda c: to_number(c, None), "double") == [*LARGE_AND_SMALL, None]
+    assert column(spark, [12345678, None], to_number, "long") == [12345678.0, 0.0]
+    assert column(spark, [12345678], lambda c: to_number((c / 10).cast("decimal(20,7)")), "long") == [1234567.8]

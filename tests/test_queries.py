@@ -33,3 +33,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_map_of_large_values(spark, sf, con, tmp_path):
+    """Sums from ten million up, which Spark would write with an exponent."""
+    from regionlink.plans.file_queries import map_file
+
+    for t in ("region", "nation"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    con.sql(f"COPY (SELECT * REPLACE (c_acctbal * 10000 AS c_acctbal) FROM '{sf}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    large = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        large.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = large.sql(SQL["map_file"]).select("place, line").fetchall()
+    assert any("M</title>" in line for _, line in want)
+    assert sorted(tuple(r) for r in map_file(spark, str(tmp_path)).collect()) == sorted(want)
