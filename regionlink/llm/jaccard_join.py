@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, n_partitions, row_key, small_batches, written
+from .common import documents, n_partitions, row_key, silent_ended, small_batches, written
 from .graph import components, joined
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ NUM, DEN = 3, 4
 FREQUENT = 16
 #: Tokens of a prefix that one class of frequent tokens gets, about.
 CLASS = 6
+#: A worker that says nothing for so many seconds, and one more for each so many bytes of a block, is taken to be stuck.
+SILENT_S, SILENT_BYTES = 60, 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY, _TEXT = 0, 1
 
@@ -145,11 +147,11 @@ _APART = "c binary, node binary, own binary, far boolean, size int, v int, token
 
 
 def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> DataFrame:
-    """_OUT rows of texts (key, text): a line _TEXT with the size of each set, and a line _ENTRY for each of its signatures.
+    """_OUT rows of texts (key, text), written: a line _TEXT with the size of each set, and a line _ENTRY for each of its signatures.
 
     If it has any, its tokens that are in other texts too are with the former; no set shares any other.
     """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, longest = (x or 0 for x in texts.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first())
     #: blocks of documents and ranges of tokens: cells of both hold few tokens, and blocks have a limit
     n = max(1, -(-size // block_bytes), math.isqrt(size // cell_bytes))
     n_ranges = -(-n // 4)
@@ -221,7 +223,9 @@ def prefixes(texts: DataFrame, block_bytes: int, cell_bytes: int = 20_000) -> Da
 
     asked = blocks.groupBy("block").applyInArrow(ask, _ASKED)
     told = asked.groupBy("range").applyInArrow(tell, _TOLD)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(index, _OUT)
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(index, _OUT)
+    with silent_ended(texts.sparkSession, SILENT_S + (2 * size // n + longest) // SILENT_BYTES):
+        return written(out, "op8 prefixes")
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -290,7 +294,7 @@ def _elsewhere(members: DataFrame, sets: DataFrame) -> DataFrame:
 def linked(texts: DataFrame, block_bytes: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
     """(key, n): the size of each set of texts (key, text); (node, component): the components of those with links."""
     small_batches(texts.sparkSession)
-    out = written(prefixes(texts, block_bytes), "op8 prefixes")
+    out = prefixes(texts, block_bytes)
     sets = out.filter(F.col("kind") == _TEXT)
     entries = out.filter(F.col("kind") == _ENTRY).select("signature", F.struct("typical", "key", "n", "shared").alias("doc"))
     having = sets.filter("tokens is not null").select("key", "n", F.col("shared").alias("held"), "tokens")
