@@ -210,14 +210,17 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", row_key(F.col("text")))
-    texts = rows.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_once, _TEXT)
+    copied = rows.select("key", F.col("text").cast("binary").alias("text"))
+    texts = copied.mapInArrow(_once, _TEXT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _once(batches):
             found = fragments(b.column("text").to_pylist(), length)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "cuts"])
 
-    cuts = written(texts.mapInArrow(cut, _CUTS), "op7 cuts")
+    # a step of Python after another in one task has a worker of its own, which stays and keeps its memory: so an exchange or a
+    # table lies between any two of them, and joins of texts are merged, never broadcast
+    cuts = written(copied.mapInArrow(cut, _CUTS), "op7 cuts")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,7 +258,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
 
         return _batches(rows(), _SENT, 5_000)
 
-    bodies = written(texts.join(wanted, "key").select("text", "parts").mapInArrow(fetch, _SENT).dropDuplicates(["anchor", "fragment"]), "op7 bodies")
+    bodies = written(texts.join(wanted.hint("merge"), "key").select("text", "parts").mapInArrow(fetch, _SENT).dropDuplicates(["anchor", "fragment"]), "op7 bodies")
 
     def sort_shard(key: tuple, table: pa.Table) -> pa.Table:
         ids = sorted(zip(*(table.column(c).to_pylist() for c in ("anchor", "fragment", "body", "many"))))
@@ -309,7 +312,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, shard_bytes: int = 600_000,
 
         return _batches(rows(), _DONE)
 
-    done = texts.join(spans, "key", "left").select("key", "text", "parts").mapInArrow(remove, _DONE).dropDuplicates(["key"])
+    done = texts.join(spans.hint("merge"), "key", "left").select("key", "text", "parts").mapInArrow(remove, _DONE).dropDuplicates(["key"])
     copies = rows.select("key").groupBy("key").agg(F.count("*").alias("copies"))
     of_text = written(done.join(copies, "key"), "op7 texts")
     out = rows.select("doc_id", "key", n_bytes(F.col("text")).alias("n_bytes")).join(of_text, "key")
